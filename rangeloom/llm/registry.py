@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .license_scan import OP7_SQL, op7_license_scan
 from .sharding import op5_sharding
 from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_sharding, op7_license_scan, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": OP7_SQL}
