@@ -37,6 +37,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the fit reads at most.
 MAX_PER_CLASS = 10_000
 PREFIX, PRIOR, PREFIX_PRIOR, DRIFT, FLOOR, E_VALUE, CUT = 4, 3.0, 20.0, 2.0, -3.0, 0.05, 0.7
+#: A word has an entry of its own if it or its prefix scores above NEAR and the two differ by more than SAME.
+NEAR, SAME = -0.5, 0.1
 MAX_CACHED = 500_000
 #: Folds within the sample; each is scored by a model of the others, to place the cut.
 FOLDS = 4
@@ -137,7 +139,7 @@ def _log_odds(counts: DataFrame) -> Model:
     p = c.groupBy(F.substring("word", 1, PREFIX).alias("prefix")).agg(((F.sum("y1") + PREFIX_PRIOR * base) / (F.sum("y1") + F.sum("y0") + PREFIX_PRIOR)).alias("share"))
     w = c.withColumn("prefix", F.substring("word", 1, PREFIX)).join(p, "prefix")
     w = w.withColumn("v", F.greatest(F.lit(FLOOR), logit((F.col("y1") + PRIOR * F.col("share")) / (F.col("y1") + F.col("y0") + PRIOR)))).withColumn("pv", F.greatest(F.lit(FLOOR), logit(F.col("share"))))
-    words = w.where((F.col("v") > FLOOR) | (F.col("pv") > FLOOR)).where(F.abs(F.col("v") - F.col("pv")) > 1e-3).select("word", "v").toPandas()
+    words = w.where((F.greatest("v", "pv") > NEAR) & (F.abs(F.col("v") - F.col("pv")) > SAME)).select("word", "v").toPandas()
     prefixes = p.withColumn("v", F.greatest(F.lit(FLOOR), logit(F.col("share")))).where(F.col("v") > FLOOR).select("prefix", "v").toPandas()
     return Model(dict(zip(words["word"], words["v"], strict=True)), dict(zip(prefixes["prefix"], prefixes["v"], strict=True)), max(FLOOR, -DRIFT))
 
@@ -164,24 +166,28 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_per_class: int = MAX_PER_
     if not model.words and not model.prefixes:
         return model
 
+    sent = docs.sparkSession.sparkContext.broadcast(halves)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [_Scores(m) for m in halves]
+        tables, hist = [_Scores(m) for m in sent.value], Counter()
+        kinds = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("steps", pa.list_(pa.float64())), ("hits", pa.list_(pa.int64()))])
         for b in batches:
-            out: dict[str, list] = {"toxic": [], "n": [], "s": [], "steps": [], "hits": []}
+            out: dict[str, list] = {"toxic": [], "n": [], "s": []}
             for t, y, half in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 v = np.array([tables[half][w] for w in _tokens(t.as_py())])
-                hist = Counter(np.round(v, 1).tolist()) if not y else {}
+                if not y:
+                    hist.update(np.round(v, 1).tolist())
                 out["toxic"].append(y)
                 out["n"].append(len(v))
                 out["s"].append([s for s, _, _ in segments(v)])
-                out["steps"].append([float(x) for x in hist])
-                out["hits"].append([int(x) for x in hist.values()])
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("steps", pa.list_(pa.float64())), ("hits", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out | {"steps": [None] * len(out["n"]), "hits": [None] * len(out["n"])}, kinds)
+        yield pa.RecordBatch.from_pydict({"toxic": [-1], "n": [0], "s": [[]], "steps": [[float(x) for x in hist]], "hits": [[int(x) for x in hist.values()]]}, kinds)
 
-    seen = rows.mapInArrow(scan, "toxic int, n long, s array<double>, steps array<double>, hits array<long>").collect()  # a row for each sampled label
+    seen = rows.mapInArrow(scan, "toxic int, n long, s array<double>, steps array<double>, hits array<long>").collect()  # a row for each sampled label, and one of counts for each task
+    sent.destroy()
     clean = [r for r in seen if not r["toxic"]]
     hist: Counter = Counter()
-    for r in clean:
+    for r in (r for r in seen if r["toxic"] < 0):
         for x, n in zip(r["steps"], r["hits"], strict=True):
             hist[x] += n
     x, p = np.array(list(hist)), np.array(list(hist.values()), float)
@@ -194,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_per_class: int = MAX_PER_
         model.lam = max(low, 0.05)
     floor = 1.0 / model.lam
     model.k = max(1e-6, sum(s >= floor for r in clean for s in r["s"]) / max(1e-9, sum(r["n"] for r in clean) * math.exp(-model.lam * floor)))
+    seen = [r for r in seen if r["toxic"] >= 0]
     z = sorted(((evidence(model, r["s"], r["n"]), r["toxic"]) for r in seen), reverse=True)
     total, caught, best = sum(y for _, y in z), 0, (-1.0, 0.0)
     for i, (v, y) in enumerate(z):
@@ -213,7 +220,10 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     names = [spare(docs, x) for x in ("score", "evidence", "passages")]
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         table_ = _Scores(model)
         for b in batches:
             score, ev, spans = [], [], []
