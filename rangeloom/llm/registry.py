@@ -6,9 +6,10 @@ from .decontaminate import op4_decontamination
 from .language_id import op9_language_id
 from .license_scan import OP7_SQL, op7_license_scan
 from .nearest import op8_nearest_neighbours
+from .sentencepiece_ffbs import op3_sentencepiece
 from .sharding import op5_sharding
 from .token_counts import op10_token_counts
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_sharding, op6_toxicity, op7_license_scan, op8_nearest_neighbours, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sentencepiece, op4_decontamination, op5_sharding, op6_toxicity, op7_license_scan, op8_nearest_neighbours, op9_language_id, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op7_license_scan": OP7_SQL}
