@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import need, table
+from .piece_table import PieceTable
 
 WORD = re.compile(r"[^\W\d_]{1,32}")
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 12
-ROUNDS, SMOOTH, FLUSH, CACHED, BLOCK = 2, 200.0, 200_000, 300_000, 4096
+ROUNDS, SMOOTH, FLUSH, CACHED, BLOCK = 2, 200.0, 400_000, 300_000, 2048
 
 
 @lru_cache(maxsize=2)
@@ -46,21 +47,23 @@ def pieces(name: str = VOCABULARY) -> dict[str, int]:
     return out
 
 
-def lattice(words: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def piece_table(name: str = VOCABULARY) -> PieceTable:
+    return PieceTable(pieces(name), LONGEST)
+
+
+def lattice(words: list[str], vocabulary: dict[str, int], name: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """ids[w, e, k]: number of the piece of k + 1 characters that ends at character e of word w, or one past the last; and lengths."""
     marked = [MARK + w for w in words]
     n = np.array([len(w) for w in marked])
+    length = int(n.max(initial=1))
+    chars = np.array(marked, f"U{length}").view(np.uint32).reshape(len(marked), length).astype(np.int64)
+    chars[np.arange(length)[None, :] >= n[:, None]] = -1
     other, none = len(vocabulary), len(vocabulary) + 1
-    ids = np.full((len(words), int(n.max(initial=0)) + 1, LONGEST), none, np.int32)
-    get = vocabulary.get
-    for i, w in enumerate(marked):
-        for e in range(1, len(w) + 1):
-            for k in range(1, min(e, LONGEST) + 1):
-                p = get(w[e - k : e], -1)
-                if p >= 0:
-                    ids[i, e, k - 1] = p
-                elif k == 1:
-                    ids[i, e, 0] = other
+    ids = np.full((len(words), length + 1, LONGEST), none, np.int32)
+    for k, w, e, piece in piece_table(name).find(chars):
+        ids[w, e + 1, k - 1] = piece
+    ids[:, 1:, 0] = np.where((ids[:, 1:, 0] == none) & (chars != -1), other, ids[:, 1:, 0])
     return ids, n
 
 
@@ -88,28 +91,27 @@ def expected(ids: np.ndarray, n: np.ndarray, p: np.ndarray, lang: np.ndarray, we
         for k in range(min(e, LONGEST)):
             beta[:, e - k - 1] += beta[:, e] * own[ids[:, e, k], rows]
     scale = weight / np.maximum(alpha[rows, n], 1e-300)
-    for e in range(1, ids.shape[1]):
-        for k in range(min(e, LONGEST)):
-            use = alpha[:, e - k - 1] * own[ids[:, e, k], rows] * beta[:, e] * scale
-            np.add.at(into, (ids[:, e, k], lang), use)
+    w, e, k = np.nonzero(ids < p.shape[0] - 1)
+    piece = ids[w, e, k]
+    use = alpha[w, e - k - 1] * own[piece, w] * beta[w, e] * scale[w]
+    into += np.bincount(piece * into.shape[1] + lang[w], use, into.size).reshape(into.shape)
 
 
 def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, Counter] = {}
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"lang": [k[0] for k in seen], "word": [k[1] for k in seen], "n": pa.array(list(seen.values()), pa.int64())})
+        def out() -> Iterator[pa.RecordBatch]:
+            for name, words in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+            seen.clear()
 
         for b in batches:
             for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for w, n in Counter(WORD.findall((t.as_py() or "").lower())).items():
-                    seen[name, w] += n
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+                seen.setdefault(name, Counter()).update(WORD.findall((t.as_py() or "").lower()))
+            if sum(map(len, seen.values())) > FLUSH:
+                yield from out()
+        yield from out()
 
     part = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(run, "lang string, word string, n long")
     return part.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -131,12 +133,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", rounds: int = R
             def step(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
                 voc, total = pieces(vocabulary), np.zeros(p.shape)
                 for b in batches:
-                    for lo in range(0, b.num_rows, BLOCK):
-                        part = b.slice(lo, BLOCK)
+                    for lo in range(0, b.num_rows, 8 * BLOCK):
+                        part = b.slice(lo, 8 * BLOCK)
                         order = sorted(zip(part.column(1).to_pylist(), part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True), key=lambda r: len(r[0]))
-                        for j in range(0, len(order), BLOCK // 8):  # words of like length together
-                            rows = order[j : j + BLOCK // 8]
-                            ids, n = lattice([r[0] for r in rows], voc)
+                        for j in range(0, len(order), BLOCK):  # words of like length together
+                            rows = order[j : j + BLOCK]
+                            ids, n = lattice([r[0] for r in rows], voc, vocabulary)
                             expected(ids, n, p, np.array([at[r[1]] for r in rows]), np.array([r[2] for r in rows], float), total)
                 piece, l = np.nonzero(total)
                 yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int32()), "l": pa.array(l, pa.int32()), "c": pa.array(total[piece, l], pa.float64())})
@@ -166,14 +168,14 @@ def identify(docs: DataFrame, names: list[str], p: np.ndarray, key: str = "doc_i
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 texts = [WORD.findall((t.as_py() or "").lower()) for t in part.column(1)]
-                fresh = sorted({w for ws in texts for w in ws if w not in known}, key=len)
+                fresh = sorted(set().union(*texts) - known.keys(), key=len)
                 if len(known) + len(fresh) > CACHED:
                     known, logs = {}, logs[:0]
-                    fresh = sorted({w for ws in texts for w in ws}, key=len)
+                    fresh = sorted(set().union(*texts), key=len)
                 more = [logs]
-                for j in range(0, len(fresh), 512):
-                    ws = fresh[j : j + 512]
-                    ids, n = lattice(ws, voc)
+                for j in range(0, len(fresh), BLOCK):
+                    ws = fresh[j : j + BLOCK]
+                    ids, n = lattice(ws, voc, vocabulary)
                     more.append(np.log(np.maximum(forward(ids, table_)[np.arange(len(n)), n], 1e-300)))
                     known.update(zip(ws, range(len(known), len(known) + len(ws)), strict=True))
                 logs = np.concatenate(more)

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import need, spare, table
+from .piece_table import PieceTable
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNIT = re.compile(MARK + "| {0,8}[^ " + MARK + "]{1,40}| {1,8}", re.S)
 LONGEST, LENGTH, SEED, TEMPERATURE = 16, 48, 11, 1.0
 UNKNOWN_WEIGHT = 1e-5
-PRIME = np.uint64(0x100000001B3)
 #: Units that a worker remembers at most, and characters that it samples at a time.
 CACHED, CHUNK = 200_000, 2_000_000
 
@@ -58,46 +58,11 @@ class Vocabulary:
                 ranks[i] = -sp.get_score(i)
                 if len(p) <= LONGEST:
                     self.ids[p] = i
-        self._table()
+        self.table = PieceTable(self.ids, LONGEST)
         weight = (ranks + 100.0) ** -temperature
         self.weight = np.append(weight / weight.sum(), [UNKNOWN_WEIGHT, 0.0])  # then: a character that is no piece; no edge
 
 
-    def _table(self) -> None:
-        """Pieces by length, as sorted hashes with their characters."""
-        self.tables, self.bits = {}, np.zeros(1 << 20, bool)
-        for k in range(1, LONGEST + 1):
-            own = sorted(p for p in self.ids if len(p) == k)
-            if own:
-                chars = np.array(own, f"U{k}").view(np.uint32).reshape(len(own), k).astype(np.int64)
-                h = np.zeros(len(own), np.uint64)
-                for j in range(k):
-                    h = h * PRIME + chars[:, j].astype(np.uint64)
-                order = np.argsort(h)
-                self.tables[k] = h[order], chars[order], np.array([self.ids[p] for p in own])[order]
-                self.bits[self._slot(h)] = True
-
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-
-    def find(self, chars: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, row, last column, piece) for all pieces in rows of characters; negative characters match nothing."""
-        own = chars.astype(np.uint64)
-        h = np.zeros_like(own)
-        for k in range(1, min(LONGEST, chars.shape[1]) + 1):
-            h = own[:, k - 1 :] + PRIME * (h[:, :-1] if k > 1 else h)
-            if k not in self.tables:
-                continue
-            w, e = np.nonzero(self.bits[self._slot(h)])
-            hashes, letters, ids = self.tables[k]
-            at = np.minimum(np.searchsorted(hashes, h[w, e]), len(hashes) - 1)
-            good = hashes[at] == h[w, e]
-            w, e, at = w[good], e[good] + k - 1, at[good]
-            good = (chars[w[:, None], e[:, None] + np.arange(1 - k, 1)] == letters[at]).all(1)
-            yield k, w[good], e[good], ids[at[good]]
-
-
 @lru_cache(maxsize=2)
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
     return Vocabulary(name)
@@ -141,7 +106,7 @@ class Sampler:
         chars[chars == ord(" ")] = ord(MARK)
         chars[[i for i, u in enumerate(units) if u == MARK], 0] = -2  # the mark as text is no piece
         ids = np.full((len(units), length + 1, LONGEST), voc.size + 1, np.int64)
-        for k, w, e, piece in voc.find(chars):
+        for k, w, e, piece in voc.table.find(chars):
             ids[w, e + 1, k - 1] = piece
         code = np.zeros((len(units), length + 1), np.int64)
         code[:, 1:] = np.where(chars == -2, ord(MARK), chars)
