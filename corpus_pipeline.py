@@ -1,15 +1,65 @@
-"""A corpus run through stages, each written as Parquet and read again by the next."""
+"""A corpus run through stages, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last
+adds the pieces of each text. Texts may be null or empty in any stage: they are kept, with no pieces.
+"""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rangeloom.llm import decontaminate, ngram_join, repeats, sentencepiece_ffbs, toxicity
 from rangeloom.llm.common import keep, table
 
-STAGES: list = []
+#: Words of a shingle, and the similarity from which documents are near copies.
+WORDS, SIMILARITY = 5, Fraction(8, 10)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the cut."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i))
+    return toxicity.score_documents(docs, model).where(F.col("score") < toxicity.CUT).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs, n=WORDS, t=SIMILARITY)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat in the corpus; a character cut in two goes whole."""
+    out = repeats.kept_text(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def add_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of each text, and whether they decode to it."""
+    out = sentencepiece_ffbs.decode(sentencepiece_ffbs.encode(docs))
+    return out.withColumn("n_pieces", F.size("ids")).withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_benchmark),
+    ("sentencepiece", add_pieces),
+]
+
+#: SQL can't express scoring, sampling and approximate matching; tests/llm hold the run against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

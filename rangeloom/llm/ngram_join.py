@@ -231,5 +231,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("r", "id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, t: Fraction = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest id; null ids stay."""
+    groups = near_groups(docs, key, text, n, t)
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone"))
+    kept = docs.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+
+
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

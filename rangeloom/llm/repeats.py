@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, need, table
+from .common import keep, need, spare, table
 
 LENGTH, SEED = 200, 16
 #: Bits of the bitmap of shared cores and of documents with spans; both are of fixed size.
@@ -161,9 +161,9 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _with_uid(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _with_uid(docs: DataFrame, key: str, text: str, rest: list[str] | None = None) -> DataFrame:
     """Rows known by their content: equal rows share a number, and null ids have one."""
-    return docs.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.col(text)).alias("uid"), F.col(key).alias("k"), F.col(text).alias("t"))
+    return docs.select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.col(text)).alias("uid"), F.struct(*[F.col(c) for c in rest or [key]]).alias("k"), F.col(text).alias("t"))
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,15 +223,17 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, spans, kept): the byte spans that are removed, and the bytes that stay. A row for each document."""
+    """All columns of ``docs`` but the text, with n_bytes, spans (removed) and kept (the bytes that stay); a row for each row."""
     need(docs, key, text)
     spark = docs.sparkSession
     # Equal rows have equal spans, so after this a row's group is bounded by its own length.
     spans = keep(repeated_spans(docs, key, text).groupBy("uid", "s").agg(F.max("e").alias("e")), "spans")
     marked = bitmap(spans.select("uid"), DOC_BITS)
     sent = spark.sparkContext.broadcast(marked)
-    rows = _with_uid(docs, key, text)
-    kind = dict(docs.dtypes)[key]
+    rest = [c for c in docs.columns if c != text]
+    rows = _with_uid(docs, key, text, rest)
+    kind = rows.schema["k"].dataType.simpleString()
+    names = [spare(docs, x) for x in ("n_bytes", "spans", "kept")]
 
     def out_batch(ids: pa.Array, raws: list[bytes], cuts: list[list[tuple[int, int]]]) -> pa.RecordBatch:
         kept = []
@@ -272,7 +274,25 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     clean = rows.mapInArrow(split(False), shape).mapInArrow(whole, schema)
     own = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
     hit = rows.mapInArrow(split(True), shape).join(own, "uid", "left").select("k", "t", "cuts").mapInArrow(cut, schema)
-    return clean.unionByName(hit).withColumnRenamed("k", key)
+    both = clean.unionByName(hit)
+    return both.select(*[F.col(f"k.`{c}`").alias(c) for c in rest], *[F.col(a).alias(b) for a, b in zip(("n_bytes", "spans", "kept"), names, strict=True)])
+
+
+def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the text that stays; characters that a removed span cuts in two go, null texts become empty."""
+    out = dedup(docs, key, text)
+    whole = out.columns[-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.decode("utf-8", "ignore") for x in (v.as_py() for v in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["k", "t"])
+
+    rest = [c for c in docs.columns if c != text]
+    packed = out.select(F.struct(*rest).alias("k"), F.col(whole).alias("kept"))
+    kind = packed.schema["k"].dataType.simpleString()
+    flat = packed.mapInArrow(run, f"k {kind}, t string").select(*[F.col(f"k.`{c}`").alias(c) for c in rest], F.col("t").alias(text))
+    return flat.select(*docs.columns)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
