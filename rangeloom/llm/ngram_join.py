@@ -3,7 +3,7 @@
 Shingles are put in one global order, rare ones first (by a frequency class from a fixed-size count table, then by
 hash). Any order gives the same links; this one keeps frequent shingles out of prefixes. The order is cut into
 fragments. Two documents whose similarity reaches the threshold must share a shingle among the first
-``n - ceil(t n) + 1`` of each, so these make the candidates; sizes and places in the order prune them. For candidate
+``n - ceil(t n) + 1`` of each, so these make the candidates; sizes and the number of shared prefix shingles prune them. For candidate
 pairs the overlap is counted separately in each fragment and summed per pair, exactly.
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. Not all pairs of a group are made:
@@ -30,12 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import drop_kept, keep, need, table
 from .components import components
+from .repeats import _has as in_bitmap
+from .repeats import bitmap
 
 N, THRESHOLD, FRAGMENTS = 4, Fraction(85, 100), 4
 #: The count table: 2 ** SLOT_BITS counters, summed in pieces of 2 ** PIECE_BITS.
 SLOT_BITS, PIECE_BITS = 22, 16
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 WORDS_KNOWN = 400_000
+#: Bits of the bitmaps of ids and of shingles that pass before rows move; both of fixed size.
+ID_BITS, TOKEN_BITS = 24, 26
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -134,83 +138,111 @@ def least_overlap(a, b, t: Fraction = THRESHOLD):
     return F.ceil((a + b) * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
 
 
+def _only(rows: DataFrame, keys: DataFrame, bits: int, shape: str) -> DataFrame:
+    """Rows whose first column may be among the keys, by a bitmap of fixed size; others go before they are moved."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(keys, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, shape)
+
+
+def _wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, id, t) of documents that may be among the ids, without a shuffle of texts."""
+    rows = docs.where(F.col(key).isNotNull()).select(F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    return _only(rows, ids.select(F.xxhash64("id")), ID_BITS, "h long, id long, t string").select("id", "t")
+
+
+def prefix_bound(a, b, t: Fraction):
+    """Shingles that prefixes of two sets of these sizes share at least, if the sets reach the threshold."""
+    return least_overlap(a, b, t) - F.ceil(F.greatest(a, b) * t.numerator / F.lit(float(t.denominator)) - 1e-9) + 1
+
+
 def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: str, text: str, n: int = N, t: Fraction = THRESHOLD) -> DataFrame:
     """Components (node, root) over representatives, from verified links only."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
+    sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
     num, den = t.numerator, t.denominator
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(reps.select("id", "n_shingles"), "id")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
         for b in batches:
-            ids, sizes, token, place = [], [], [], []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = in_order(hasher.shingles(x.as_py()), sent.value)
-                p = h[: len(h) - -(-len(h) * num // den) + 1]
-                ids.append(np.full(len(p), i, np.int64))
-                sizes.append(np.full(len(p), len(h), np.int32))
-                token.append(p.view(np.int64))
-                place.append(np.arange(len(p), dtype=np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, ids, sizes, place)], ["token", "id", "n", "place"])
-
-    tokens = rows.select("id", "t").mapInArrow(prefixes, "token long, id long, n int, place int")
-    # A shingle that only one representative has in its prefix makes no pair: drop it before anything is kept.
-    heads = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = keep(tokens.join(heads.select("token", "hub"), "token"), "prefix-shared")
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                ids, sizes, token = [], [], []
+                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = in_order(hasher.shingles(x.as_py()), sent.value)
+                    p = h[: len(h) - -(-len(h) * num // den) + 1] if len(h) else h
+                    ids.append(np.full(len(p), i, np.int64))
+                    sizes.append(np.full(len(p), len(h), np.int32))
+                    token.append(p.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, ids, sizes)], ["token", "id", "n"])
+
+    tokens = keep(_wanted_texts(docs, reps, key, text).mapInArrow(prefixes, "token long, id long, n int"), "prefixes")
+    # A shingle that only one representative has in its prefix makes no pair: most rows go before they are moved.
+    heads = keep(tokens.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("token", "hub"), "prefix-hubs")
+    shared = _only(tokens, heads.select("token"), TOKEN_BITS, "token long, id long, n int").join(heads, "token")
+    shared = keep(shared.groupBy("token", "hub", "id").agg(F.max("n").alias("n")), "prefix-shared")  # repeated rows count once
+    fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+    # Star: each document against the hub that it shares most shingles with. What this misses, the second round finds.
     sizes = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"))
-    stars = stars.join(sizes, "a").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    links = keep(verify(docs, stars.select("a", "b"), sent, key, text, n, t), "jaccard-stars")
+    stars = shared.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("nb"))
+    stars = stars.join(sizes, "a").where(fits("na", "nb") & (2 * F.col("k") >= prefix_bound(F.col("na"), F.col("nb"), t)))
+    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
+    links = keep(verify(docs, stars.select("a", "b"), key, text, n, t), "jaccard-stars")
     found = components(links)
-    # Second round: only shingles whose holders are in different components, the least component against the rest.
-    held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "place", F.coalesce("root", "id").alias("root"))
+    # Second round: only shingles whose holders are in different components. The component with most holders stays out
+    # of one side, so a large group meets only the few others. A pair is met at every prefix shingle that it shares,
+    # and must share as many as the bound asks.
+    held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     held = keep(held.join(mixed.select("token"), "token", "left_semi"), "prefix-mixed")
-    # The component with most holders stays out of one side, so a large group meets only the few others.
     per_root = held.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"))
     main = per_root.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("main"))
-    left = held.join(main, "token").where("root <> main").select("token", F.col("id").alias("ia"), F.col("n").alias("xa"), F.col("place").alias("pa"), F.col("root").alias("ra"), "main")
-    right = held.select("token", F.col("id").alias("ib"), F.col("n").alias("xb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
-    need_ = least_overlap(F.col("xa"), F.col("xb"), t)
-    most = F.least("pa", "pb") + 1 + F.least(F.col("xa") - F.col("pa"), F.col("xb") - F.col("pb")) - 1
-    fits = (F.col("xa") * den >= F.col("xb") * num) & (F.col("xb") * den >= F.col("xa") * num) & (most >= need_)
+    left = held.join(main, "token").where("root <> main").select("token", F.col("id").alias("ia"), F.col("n").alias("xa"), F.col("root").alias("ra"), "main")
+    right = held.select("token", F.col("id").alias("ib"), F.col("n").alias("xb"), F.col("root").alias("rb"))
     once = (F.col("rb") == F.col("main")) | (F.col("ia") < F.col("ib"))
-    pairs = left.join(right, "token").where((F.col("ra") != F.col("rb")) & once & fits)
-    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
-    more = keep(verify(docs, pairs, sent, key, text, n, t), "jaccard-rest")
+    pairs = left.join(right, "token").where((F.col("ra") != F.col("rb")) & once & fits("xa", "xb"))
+    pairs = pairs.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.where(F.col("k") >= prefix_bound(F.col("x"), F.col("y"), t)).select("a", "b")
+    more = keep(verify(docs, pairs, key, text, n, t), "jaccard-rest")
     out = components(links.select("a", "b").unionByName(more.select("a", "b"))) if not more.isEmpty() else found
-    for df in (shared, held):
+    for df in (tokens, heads, shared, held):
         drop_kept(df)
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS) -> DataFrame:
     """Pairs whose overlap, counted in each fragment of the global order and summed, reaches the threshold."""
     pairs = keep(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    rows = _wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
         for b in batches:
-            out: dict[str, list] = {"id": [], "frag": [], "n": [], "seg": []}
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = hasher.shingles(x.as_py())
-                # A fragment is a range of the key that orders shingles within their class.
-                frag = ((h * _ODD[0]) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-                for f in range(fragments):
-                    own = h[frag == f]
-                    out["id"].append(i)
-                    out["frag"].append(f)
-                    out["n"].append(len(h))
-                    out["seg"].append(own.view(np.int64))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("frag", pa.int32()), ("n", pa.int32()), ("seg", pa.list_(pa.int64()))]))
-
-    segments = keep(rows.mapInArrow(cut, "id long, frag int, n int, seg array<long>"), "jaccard-segments")
-    sa = segments.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("seg").alias("seg_a"))
-    sb = segments.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("seg").alias("seg_b"))
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                out: dict[str, list] = {"id": [], "frag": [], "n": [], "seg": []}
+                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    h = hasher.shingles(x.as_py())
+                    # A fragment is a range of the key that orders shingles within their class.
+                    frag = ((h * _ODD[0]) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+                    for f in range(fragments):
+                        out["id"].append(i)
+                        out["frag"].append(f)
+                        out["n"].append(len(h))
+                        out["seg"].append(h[frag == f].view(np.int64))
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("frag", pa.int32()), ("n", pa.int32()), ("seg", pa.list_(pa.int64()))]))
+
+    segments = rows.mapInArrow(cut, "id long, frag int, n int, seg array<long>")
+    segments = keep(segments, "jaccard-segments")
+    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        one = segments
+    else:  # of repeated ids the largest set stands
+        one = segments.groupBy("id", "frag").agg(F.max(F.struct("n", "seg")).alias("s")).select("id", "frag", "s.n", "s.seg")
+    sa = one.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("seg").alias("seg_a"))
+    sb = one.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("seg").alias("seg_b"))
     part = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("shared"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     union = F.col("na") + F.col("nb") - F.col("shared")
