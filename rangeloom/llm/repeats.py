@@ -7,8 +7,8 @@ hundred bytes, and the dictionary has each different phrase once, with its numbe
 
 Combine. All windows of a phrase used twice are repeated. A window of another phrase can only be repeated in a phrase
 that shares its core to the left or to the right of the trigger; cores that several phrases share go into a bitmap of
-fixed size. For phrases with such a core, and only those, single windows are compared. Windows are compared by 64-bit
-hashes of their bytes. Because the length is fixed, classes of equal windows take the place of the full suffix order.
+fixed size. For phrases with such a core, and only those, blocks of windows are compared, and single windows only where
+several blocks share a core and one of them stands alone. Strings are compared by 64-bit hashes of their bytes. Because the length is fixed, classes of equal windows take the place of the full suffix order.
 
 Counts come from sums with partial sums, each task gives a phrase's windows once, and spans meet their own document
 only, so no repeated passage gathers in a task.
@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, need, spare, table
+from .common import drop_kept, keep, need, spare, table
 
 LENGTH, SEED = 200, 16
+#: Offsets from the trigger that make a block of windows.
+BLOCK = 16
 #: Bits of the bitmap of shared cores and of documents with spans; both are of fixed size.
 CORE_BITS, DOC_BITS, PIECE_BITS = 26, 24, 18
 _RNG = np.random.default_rng(20240229)
@@ -177,38 +179,68 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     cores = dictionary.select(F.explode(F.array("kl", "kr")).alias("core"), "uses").where("core <> 0")
     cores = cores.groupBy("core").agg(F.count(F.lit(1)).alias("phrases"), F.min("uses").alias("least")).where("phrases > 1 and least = 1")
     sent = spark.sparkContext.broadcast(bitmap(cores.select("core"), CORE_BITS))  # 2 ** CORE_BITS bits
+    # Windows of such phrases in blocks of BLOCK offsets; a block used twice is repeated as a whole.
+    blocks = keep(rows.mapInArrow(_blocks(sent), "bh long, place long, uid long, s int, n short"), "blocks")
+    uses = blocks.groupBy("bh").agg(F.count(F.lit(1)).alias("uses"), F.first("place").alias("place"))
+    open_ = uses.groupBy("place").agg(F.count(F.lit(1)).alias("blocks"), F.min("uses").alias("least")).where("blocks > 1 and least = 1")
+    still = spark.sparkContext.broadcast(bitmap(open_.select("place"), CORE_BITS))
+    single = keep(rows.mapInArrow(_blocks(sent, still), "bh long, place long, uid long, s int, n short").select(F.col("bh").alias("wh"), "uid", "s"), "windows")
+    again = single.groupBy("wh").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("wh")
+    end = (F.col("s") + F.col("n") + LENGTH).alias("e")
+    full = parse.join(dictionary.where("uses > 1").select("h"), "h", "left_semi").select("uid", "s", end)
+    most = blocks.join(uses.where("uses > 1").select("bh"), "bh", "left_semi").select("uid", "s", end)
+    few = single.join(again, "wh", "left_semi").select("uid", "s", (F.col("s") + LENGTH).alias("e"))
+    # Equal rows have equal spans, so after this a row's group is bounded by its own length.
+    out = keep(full.unionByName(most).unionByName(few).groupBy("uid", "s").agg(F.max("e").alias("e")), "spans")
+    for df in (parse, dictionary, blocks, single):
+        drop_kept(df)
+    return out
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, bits, given = Powers(), sent.value, set()
+def _blocks(sent, still=None):
+    """Blocks of windows of phrases with a shared core, or the single windows of blocks that are still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, given, half = Powers(), set(), (LENGTH - SEED) // 2
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                wh, uids, at = [], [], []
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for uid, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     x = Text(_raw(t), powers)
                     if not len(x.start):
                         continue
                     h, kl, kr = x.phrases()
                     # Windows that reach the left core start half or more before the trigger; the others have the right one.
-                    half = (LENGTH - SEED) // 2
                     for keys, first, last in ((kl, x.start, np.minimum(x.stop, x.trigger - half)), (kr, np.maximum(x.start, x.trigger - half + 1), x.stop)):
-                        for i in np.flatnonzero((keys != 0) & _has(bits, keys)).tolist():
+                        for i in np.flatnonzero((keys != 0) & _has(sent.value, keys)).tolist():
                             name = (int(h[i]), int(keys[i]))
-                            if name not in given:
-                                given.add(name)
-                                own = np.arange(first[i], last[i] + 1)
-                                wh.append(x.hash(own, LENGTH))
-                                at.append(own.astype(np.int32))
-                                uids.append(np.full(len(own), uid, np.int64))
-                if wh:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(wh)), pa.array(np.concatenate(uids)), pa.array(np.concatenate(at))], ["wh", "uid", "s"])
-
-    single = keep(rows.mapInArrow(windows, "wh long, uid long, s int"), "windows")
-    again = single.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wh")
-    full = dictionary.where("uses > 1").select("h")
-    spans = parse.join(full, "h", "left_semi").select("uid", "s", (F.col("s") + F.col("n") + LENGTH).alias("e"))
-    few = single.join(again, "wh", "left_semi").select("uid", "s", (F.col("s") + LENGTH).alias("e"))
-    return spans.unionByName(few)
+                            if name in given:
+                                continue
+                            given.add(name)
+                            at = np.arange(first[i], last[i] + 1)
+                            slot = (x.trigger[i] - at) // BLOCK
+                            new = np.append(True, slot[1:] != slot[:-1])
+                            begin, place = at[new], _mix(keys[i] ^ (slot[new].astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+                            stop = np.append(begin[1:] - 1, last[i])
+                            n = stop - begin
+                            kind = ((x.trigger[i] - begin) * 512 + n).astype(np.uint64)  # blocks are equal at the same offsets only
+                            if still is not None:
+                                here = _has(still.value, place)
+                                begin = np.concatenate([begin[:0], *[np.arange(u, v + 1) for u, v in zip(begin[here], stop[here], strict=True)]])
+                                n = np.zeros(len(begin), np.int64)
+                                place = kind = n.astype(np.uint64)
+                            if len(begin):
+                                out[0].append(x.hash(begin, n + LENGTH) ^ _mix(kind))
+                                out[1].append(place)
+                                out[2].append(np.full(len(begin), uid, np.int64))
+                                out[3].append(begin.astype(np.int32))
+                                out[4].append(n.astype(np.int16))
+                if out[0]:
+                    bh, place, uids, s, n = (np.concatenate(c) for c in out)
+                    yield pa.RecordBatch.from_arrays([_signed(bh), _signed(place), pa.array(uids), pa.array(s), pa.array(n)], ["bh", "place", "uid", "s", "n"])
+
+    return run
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -226,8 +258,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """All columns of ``docs`` but the text, with n_bytes, spans (removed) and kept (the bytes that stay); a row for each row."""
     need(docs, key, text)
     spark = docs.sparkSession
-    # Equal rows have equal spans, so after this a row's group is bounded by its own length.
-    spans = keep(repeated_spans(docs, key, text).groupBy("uid", "s").agg(F.max("e").alias("e")), "spans")
+    spans = repeated_spans(docs, key, text)
     marked = bitmap(spans.select("uid"), DOC_BITS)
     sent = spark.sparkContext.broadcast(marked)
     rest = [c for c in docs.columns if c != text]
