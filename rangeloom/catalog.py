@@ -508,7 +508,7 @@ def task_vectors(spark, d):
     return out.select("vec_id", F.round("drift", 6).alias("drift"), F.round(F.col("merged")[0], 6).alias("first_merged"))
 
 
-@query("SELECT count_if(h) AS n_hit, CAST(coalesce(sum(p_size) FILTER (h), 0) AS BIGINT) AS bytes_hit, count(*) AS n_all, CAST(sum(p_size) AS BIGINT) AS bytes_all, round(sum(p_size) FILTER (h) / sum(p_size), 9) AS share FROM (SELECT p_size, lower(p_type) LIKE '%promo%' OR lower(p_type) LIKE '%medium%' AS h FROM part)")
+@query("SELECT CAST(count_if(h) AS BIGINT) AS n_hit, CAST(coalesce(sum(p_size) FILTER (h), 0) AS BIGINT) AS bytes_hit, count(*) AS n_all, CAST(sum(p_size) AS BIGINT) AS bytes_all, round(sum(p_size) FILTER (h) / sum(p_size), 9) AS share FROM (SELECT p_size, lower(p_type) LIKE '%promo%' OR lower(p_type) LIKE '%medium%' AS h FROM part)")
 def taxonomy(spark, d):
     return tensors.taxonomy(table(spark, d, "part"), "p_type", "p_size", ("promo", "medium")).withColumn("share", F.round("share", 9))
 
