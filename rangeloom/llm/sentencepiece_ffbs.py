@@ -19,9 +19,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,16 @@ class Vocabulary:
                     self.ids[p] = i
         self.table = PieceTable(self.ids, LONGEST)
         weight = (ranks + 100.0) ** -temperature
+        self.blob = None
         self.weight = np.append(weight / weight.sum(), [UNKNOWN_WEIGHT, 0.0])  # then: a character that is no piece; no edge
 
+    def bytes_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces' bytes in a row, where each begins, and how many it has."""
+        if self.blob is None:
+            width = np.array([len(x) for x in self.text], np.int64)
+            self.blob = np.frombuffer(b"".join(self.text), np.uint8), np.cumsum(width) - width, width
+        return self.blob
+
 
 @lru_cache(maxsize=2)
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
@@ -92,8 +102,8 @@ class Sampler:
             self._clear()
             fresh = list(units)
         fresh.sort(key=len)
-        for lo in range(0, len(fresh), 1024):
-            self._filter(fresh[lo : lo + 1024])
+        for lo in range(0, len(fresh), 3072):
+            self._filter(fresh[lo : lo + 3072])
         if len(self.parts) > 1:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
 
@@ -105,7 +115,8 @@ class Sampler:
         chars[np.arange(length)[None, :] >= size[:, None]] = -1
         chars[chars == ord(" ")] = ord(MARK)
         chars[[i for i, u in enumerate(units) if u == MARK], 0] = -2  # the mark as text is no piece
-        ids = np.full((len(units), length + 1, LONGEST), voc.size + 1, np.int64)
+        most = min(LONGEST, length)
+        ids = np.full((len(units), length + 1, most), voc.size + 1, np.int32)
         for k, w, e, piece in voc.table.find(chars):
             ids[w, e + 1, k - 1] = piece
         code = np.zeros((len(units), length + 1), np.int64)
@@ -115,17 +126,17 @@ class Sampler:
         alpha = np.zeros((len(units), length + 1))
         alpha[:, 0] = 1
         for e in range(1, length + 1):
-            k = min(e, LONGEST)
+            k = min(e, most)
             weight[:, e, :k] *= alpha[:, e - k : e][:, ::-1]
             weight[:, e, k:] = 0
             alpha[:, e] = weight[:, e].sum(1)
         weight[:, 0] = 0
-        share = np.cumsum(weight / np.maximum(alpha, 1e-300)[:, :, None], 2)
-        share[:, :, -1] = 1.0
         w, e, k = np.nonzero(weight)
-        cum = share[w, e, k]
-        last = np.append((w[1:] != w[:-1]) | (e[1:] != e[:-1]), True)  # of its node; rounding must not leave a gap
-        cum[last] = 1.0
+        own = weight[w, e, k] / alpha[w, e]
+        first = np.append(True, (w[1:] != w[:-1]) | (e[1:] != e[:-1]))  # of its node
+        cum = np.cumsum(own)
+        cum -= (cum[first] - own[first])[np.cumsum(first) - 1]
+        cum[np.append(first[1:], True)] = 1.0  # rounding must not leave a gap
         node = self.nodes + w * (length + 1) + e
         piece = ids[w, e, k]
         piece = np.where(piece == voc.size, voc.size + code[w, e], piece)
@@ -137,7 +148,8 @@ class Sampler:
     def sample(self, ends: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units one after another, and how many each has. stream: a number for each unit."""
         key, before, piece, first = self.parts[0]
-        at, node, step, found = np.arange(len(ends)), ends, 0, []
+        at = np.argsort(ends)  # equal units together: neighbours in the tables
+        node, step, found = ends[at], 0, []
         count = np.zeros(len(ends), np.int64)
         while len(at):
             u = (_mix(stream[at] + np.uint64(0x9E3779B97F4A7C15 * (step + 1) % 2**64)) >> np.uint64(12)) * 2.0**-52
@@ -173,12 +185,12 @@ def _row_stream(keys: list, seed: int) -> np.ndarray:
 def segment(texts: list[str], keys: list, sampler: Sampler, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and how many each has."""
     units = [UNIT.findall(t) for t in texts]
-    sampler.learn({u for us in units for u in us})
+    sampler.learn(set().union(*units))
     n = np.array([len(us) for us in units], np.int64)
     if not n.sum():
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     known = sampler.known
-    ends = np.fromiter((known[u] for us in units for u in us), np.int64, int(n.sum()))
+    ends = np.fromiter(map(known.__getitem__, chain.from_iterable(units)), np.int64, int(n.sum()))
     ordinal = np.arange(len(ends)) - np.repeat(np.cumsum(n) - n, n)
     stream = _mix(np.repeat(_row_stream(keys, seed), n) + ordinal.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     ids, count = sampler.sample(ends, stream)
@@ -218,6 +230,24 @@ def decode_ids(ids: list[int], voc: Vocabulary) -> str:
     return b"".join(map(voc.text.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def decode_lists(lists: pa.ListArray, voc: Vocabulary) -> pa.Array:
+    """The texts of many lists of ids at once; bytes that are no UTF-8 are replaced."""
+    blob, start, width = voc.bytes_of()
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    w = width[ids]
+    ends = np.concatenate(([0], np.cumsum(w)))
+    data = blob[np.repeat(start[ids] - ends[:-1], w) + np.arange(ends[-1])]
+    count = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+    offsets = ends[np.concatenate(([0], np.cumsum(count)))].astype(np.int64)
+    none = np.array(lists.is_null())
+    raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    try:
+        out = raw.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
+    return pa.compute.if_else(pa.array(none), pa.scalar(None, pa.string()), out) if none.any() else out
+
+
 def decode(encoded: DataFrame, ids: str = "ids", name: str = VOCABULARY, into: str = "decoded") -> DataFrame:
     """``encoded`` with the text that its ids stand for."""
     need(encoded, ids)
@@ -226,10 +256,9 @@ def decode(encoded: DataFrame, ids: str = "ids", name: str = VOCABULARY, into: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(name)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                out = [None if x is None else decode_ids(x, voc) for x in (v.as_py() for v in part.column(at))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*b.schema.names, into])
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
+                yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column(at), voc)], [*b.schema.names, into])
 
     fields = ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes)
     return encoded.mapInArrow(run, f"{fields}, `{into}` string")
