@@ -186,7 +186,7 @@ def _all(reps: DataFrame, queries: DataFrame, head: int, k: int) -> DataFrame:
     """The k + 1 best of all vectors for the given queries, chunk by chunk."""
     n = max(1, math.ceil(reps.count() / CHUNK))
     chunked = reps.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)))
-    asked = queries.select("q", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("chunk"))
+    asked = queries.select("q", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("chunk"))
 
     def visit(key_, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"q": [], "id": [], "score": []}

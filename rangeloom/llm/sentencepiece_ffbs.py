@@ -2,7 +2,7 @@
 
 A text is a lattice of pieces. Forward filtering sums the weight of all paths to each place; backward sampling then
 draws one path from the end, each step with the chance its paths have. Weights follow Zipf's law over the vocabulary's
-merge ranks. Draws come from a counter-based generator keyed by seed, row key, unit and step, so a row's segmentation
+merge ranks, smoothed by a power. Draws come from a counter-based generator keyed by seed, row key, unit and step, so a row's segmentation
 does not depend on partitions, batches or other rows.
 
 Pieces do not cross the start of a word, so the lattice splits into units: up to 8 blanks with up to 40 other
@@ -33,14 +33,16 @@ from .piece_table import PieceTable
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNIT = re.compile(MARK + "| {0,8}[^ " + MARK + "]{1,40}| {1,8}", re.S)
-LONGEST, LENGTH, SEED, TEMPERATURE = 16, 48, 11, 1.0
+LONGEST, LENGTH, SEED = 16, 48, 11
+#: Power of the weights: 1 samples by the weights themselves, 0 all paths alike.
+SMOOTHING = 0.5
 UNKNOWN_WEIGHT = 1e-5
 #: Units that a worker remembers at most, and characters that it samples at a time.
 CACHED, CHUNK = 200_000, 2_000_000
 
 
 class Vocabulary:
-    def __init__(self, name: str = VOCABULARY, temperature: float = TEMPERATURE):
+    def __init__(self, name: str = VOCABULARY, smoothing: float = SMOOTHING):
         import public_tokenizers
         import sentencepiece
 
@@ -61,9 +63,9 @@ class Vocabulary:
                 if len(p) <= LONGEST:
                     self.ids[p] = i
         self.table = PieceTable(self.ids, LONGEST)
-        weight = (ranks + 100.0) ** -temperature
+        weight = 1 / (ranks + 100.0)
         self.blob = None
-        self.weight = np.append(weight / weight.sum(), [UNKNOWN_WEIGHT, 0.0])  # then: a character that is no piece; no edge
+        self.weight = np.append(np.append(weight / weight.sum(), UNKNOWN_WEIGHT) ** smoothing, 0.0)  # then: a character that is no piece; no edge
 
     def bytes_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces' bytes in a row, where each begins, and how many it has."""
