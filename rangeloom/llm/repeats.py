@@ -221,7 +221,9 @@ def _blocks(sent, still=None):
                             at = np.arange(first[i], last[i] + 1)
                             slot = (x.trigger[i] - at) // BLOCK
                             new = np.append(True, slot[1:] != slot[:-1])
-                            begin, place = at[new], _mix(keys[i] ^ (slot[new].astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+                            begin = at[new]
+                            # What all windows of the block's offsets have in common: blocks with an equal window share it.
+                            place = x.hash(x.trigger[i] - slot[new] * BLOCK, LENGTH - BLOCK + 1) ^ _mix(slot[new].astype(np.uint64))
                             stop = np.append(begin[1:] - 1, last[i])
                             n = stop - begin
                             kind = ((x.trigger[i] - begin) * 512 + n).astype(np.uint64)  # blocks are equal at the same offsets only
