@@ -378,7 +378,7 @@ def run_counters(spark, d):
 
 @query("WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT user_id, arg_min(value, n) AS baseline, max(value) AS peak, arg_max(value, n) AS last, count(*) AS samples FROM s WHERE n <= 5 GROUP BY user_id")
 def run_sampler(spark, d):
-    return events.sampler(table(spark, d, "events"), "user_id", "ts", "event_id", "value", 5)
+    return events.sampler(table(spark, d, "events"), "user_id", "ts", "event_id", "value")
 
 
 @query("WITH m AS (SELECT *, max(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, count(*) AS turns, CAST(count_if(role = before) AS BIGINT) AS repeats, arg_max(role, turn) AS last_role FROM m GROUP BY conv_id")
