@@ -18,3 +18,11 @@ def test_run_sampler_reads_all_events_of_a_run(spark, tmp_path):
     frame = pd.DataFrame(seven + many, columns=["user_id", "event_id", "ts", "value"])
     got = {tuple(r) for r in catalog.run_sampler(spark, tables(tmp_path, events=frame)).select("user_id", "baseline", "peak", "last", "samples").collect()}
     assert got == {(1, 3.0, 9.0, 6.0, 7), (2, 0.0, 511.0, 511.0, 512)}
+
+
+def test_inventory_difference_compares_all_customers(spark, tmp_path):
+    # Keys 1 and 2 are equal, 3 and 4 differ, 5 and 6 are suppliers' only, 7 and 8 customers' only.
+    left = pd.DataFrame([(1, 1, 1.5), (2, 2, 2.5), (3, 3, 3.5), (4, 4, 4.5), (5, 5, 5.5), (6, 6, 6.5)], columns=["s_suppkey", "s_nationkey", "s_acctbal"])
+    right = pd.DataFrame([(1, 1, 1.6), (2, 2, 2.6), (3, 0, 3.5), (4, 0, 0.5), (7, 7, 7.5), (8, 8, 8.5)], columns=["c_custkey", "c_nationkey", "c_acctbal"])
+    got = sorted(tuple(r) for r in catalog.inventory_difference(spark, tables(tmp_path, supplier=left, customer=right)).select("k", "difference").collect())
+    assert got == [(3, "x"), (4, "x,y"), (5, "left"), (6, "left"), (7, "right"), (8, "right")]
