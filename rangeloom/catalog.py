@@ -591,7 +591,7 @@ def range_reads(spark, d):
 
 @query("SELECT 'duplicate_path' AS code, s AS path, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT substr(url, 1, 24) AS s FROM pages) GROUP BY s HAVING count(*) > 1")
 def duplicate_paths(spark, d):
-    return bundle.duplicates(table(spark, d, "pages").select(F.substring("url", 1, 24).alias("path")), "path", "duplicate_path")
+    return bundle.duplicates(table(spark, d, "pages").select(F.col("url").alias("path")), "path", "duplicate_path")
 
 
 @query("SELECT 'missing_dependency' AS code, s_name AS path, CAST(k AS VARCHAR) AS detail FROM (SELECT s_name, s_nationkey + 5 AS k FROM supplier) WHERE k NOT IN (SELECT n_nationkey FROM nation)")

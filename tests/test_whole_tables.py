@@ -26,3 +26,10 @@ def test_inventory_difference_compares_all_customers(spark, tmp_path):
     right = pd.DataFrame([(1, 1, 1.6), (2, 2, 2.6), (3, 0, 3.5), (4, 0, 0.5), (7, 7, 7.5), (8, 8, 8.5)], columns=["c_custkey", "c_nationkey", "c_acctbal"])
     got = sorted(tuple(r) for r in catalog.inventory_difference(spark, tables(tmp_path, supplier=left, customer=right)).select("k", "difference").collect())
     assert got == [(3, "x"), (4, "x,y"), (5, "left"), (6, "left"), (7, "right"), (8, "right")]
+
+
+def test_duplicate_paths_compares_whole_urls(spark, tmp_path):
+    urls = ["https://site.example/articles/1", "https://site.example/articles/2", "https://site.example/a", "https://site.example/a", "https://site.example/articles/2", "https://site.example/articles/2"]
+    pages = pd.DataFrame({"page_id": range(len(urls)), "url": urls})
+    got = sorted(tuple(r) for r in catalog.duplicate_paths(spark, tables(tmp_path, pages=pages)).select("code", "path", "detail").collect())
+    assert got == [("duplicate_path", "https://site.example/a", "2"), ("duplicate_path", "https://site.example/articles/2", "3")]
