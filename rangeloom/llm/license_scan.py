@@ -1,14 +1,18 @@
-"""License scan: an exact set-similarity join of text lines with license templates, in DataFrame functions only.
-
-A text block is a line. A template is a set of words; a block holds it if it has at least THRESHOLD of the template's
-words. Words are ordered by how many corpus lines have them, rarest first. A block that holds a template shares at least
-``need = ceil(THRESHOLD * size)`` words with it, hence one of the ``size - need + 1`` rarest (prefix filter); it has at
-least ``need`` words (length filter); and if the first shared word is the k-th of the template, ``size - k`` are left,
-which must reach ``need`` (positional filter). Blocks that pass are verified by counting shared words.
+"""License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
+
+Text blocks are lines, and windows of consecutive words of the whole text, whatever its line breaks: notices are often
+wrapped. A window for a template is as long as its text and as many words more as THRESHOLD leaves room for. A template
+is a set of words; a block holds it if it has at least THRESHOLD of the template's words. Words are ordered by how many
+corpus lines have them, rarest first. A block that holds a template shares at least ``need = ceil(THRESHOLD * size)``
+words with it, hence one of the ``size - need + 1`` rarest (prefix filter); it has at least ``need`` words (length
+filter); and if the first shared word is the k-th of the template, ``size - k`` are left, which must reach ``need``
+(positional filter). Blocks that pass are verified by counting shared words. For windows the prefix and length filters
+are asked of the whole text's words; then the windows that start at a template word are counted, as any other has no
+more of them than one of these.
 
 Besides, phrases are found wherever their words stand one after another, across lines too (base labels).
 
-Templates are a fixed, small table, so the join's build side has a proven bound. Only lines with a template word leave
+Templates are a fixed, small table, so the join's build side has a proven bound. Only texts with template words leave
 the scan; nothing is grouped by a word of the corpus, so frequent words do not gather in a task.
 
 Defined cases: a null text is empty: no words, no labels, null first and last word, score 0. Ties between templates
@@ -46,10 +50,14 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
+def _tokens(text: str) -> list[str]:
     import re
 
-    return {k: sorted({w for w in re.split(GAP, v.lower()) if w}) for k, v in sorted(templates.items())}
+    return [w for w in re.split(GAP, text.lower()) if w]
+
+
+def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
+    return {k: sorted(set(_tokens(v))) for k, v in sorted(templates.items())}
 
 
 def _spaced(text: Column) -> Column:
@@ -65,7 +73,8 @@ def word_order(lines: DataFrame, words: list[str]) -> DataFrame:
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str], threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, label, shared, size): every block that holds a template, with a row for each such pair."""
+    """(key, line, label, shared, size): every line that holds a template, with a row for each such pair; and with a null
+    line, every text with a window that does, with the words of the best one."""
     need(docs, key, text)
     sets = template_words(templates)
     vocabulary = sorted({w for ws in sets.values() for w in ws})
@@ -73,8 +82,10 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: int
     few = min(least.values())
     # A line is worth splitting only if it has a word that can be in some template's prefix: here, any template word.
     tight = F.array(*[F.lit(w) for w in vocabulary])
-    pieces = docs.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line", "block"))
-    lines = pieces.where(F.col("block").rlike("licen|permi|redistrib|subject|released") if _all_have(sets, ("licen", "permi", "redistrib", "subject", "released"), least) else F.lit(True))
+    stems = ("licen", "permi", "redistrib", "subject", "released")
+    likely = F.col("block").rlike("|".join(stems)) if _all_have(sets, stems, least) else F.lit(True)
+    texts = docs.where(F.col(text).isNotNull()).select(key, F.lower(F.col(text)).alias("block")).where(likely)
+    lines = texts.select(F.col(key), F.posexplode(F.split("block", "\n")).alias("line", "block")).where(likely)
     lines = lines.select(key, "line", F.array_intersect(F.split("block", GAP), tight).alias("words")).where(F.size("words") >= few)
     order = word_order(lines, vocabulary)
     spark = docs.sparkSession
@@ -87,7 +98,31 @@ def template_matches(docs: DataFrame, templates: dict[str, str], threshold: int
     shared = F.size(F.array_intersect("words", "t_words"))
     # A pair counts once: by the first word of the prefix that the block has.
     first = F.element_at(F.filter("t_words", lambda w: F.array_contains(F.col("words"), w)), 1) == F.col("word")
-    return near.where(first).withColumn("shared", shared).where(F.col("shared") >= F.col("need")).select(key, "line", "label", "shared", "size")
+    found = near.where(first).withColumn("shared", shared).where(F.col("shared") >= F.col("need")).select(key, "line", "label", "shared", "size")
+    spans = F.broadcast(spark.createDataFrame([(k, -(-len(_tokens(templates[k])) * 100 // threshold)) for k in sets], "label string, span int"))
+    return found.unionByName(_window_matches(texts, ordered.join(spans, "label"), tight, few, key))
+
+
+def _window_matches(texts: DataFrame, ordered: DataFrame, tight: Column, few: int, key: str) -> DataFrame:
+    """(key, null line, label, shared, size): texts with a window of ``span`` words that holds a template."""
+    at = F.filter(F.transform("a", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(tight, x["word"]))
+    rows = texts.select(key, F.split("block", GAP).alias("a")).where(F.size(F.array_intersect("a", tight)) >= few)
+    rows = rows.select(key, at.alias("all")).withColumn("words", F.array_distinct(F.transform("all", lambda x: x["word"])))
+    # The templates are few and the filters cheap, so every text meets every template.
+    close = (F.size("words") >= F.col("need")) & F.arrays_overlap("words", F.slice("t_words", 1, F.col("size") - F.col("need") + 1))
+    near = rows.join(F.broadcast(ordered), close & (F.size(F.array_intersect("words", "t_words")) >= F.col("need")))
+    hits = F.filter("all", lambda x: F.array_contains(F.col("t_words"), x["word"]))
+
+    def most(h: Column) -> Column:
+        def held(x: Column, i: Column) -> Column:
+            inside = F.filter(F.slice(h, i + 1, F.col("span")), lambda y: y["at"] < x["at"] + F.col("span"))
+            return F.size(F.array_distinct(F.transform(inside, lambda y: y["word"])))
+
+        return F.array_max(F.transform(h, held))
+
+    # An array of one binds the hits to a name; as a column, Spark would put their expression in each place, and take squares of time.
+    best = near.withColumn("shared", F.get(F.transform(F.array(hits), most), F.lit(0))).where(F.col("shared") >= F.col("need"))
+    return best.select(key, F.lit(None).cast("int").alias("line"), "label", "shared", "size")
 
 
 def _all_have(sets: dict[str, list[str]], stems: tuple[str, ...], least: dict[str, int]) -> bool:

@@ -440,6 +440,54 @@ def test_license_scan(spark, clashing, empty):
     assert license_scan.scan(clashing).count() == len(HARD) and license_scan.scan(empty).count() == 0
 
 
+WRAPPED = {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal""",
+    "bsd-3-clause": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+}
+
+
+def test_license_scan_wrapped_notices(spark):
+    rows = [(i, f"some words before\n{v}\nand after") for i, v in enumerate(WRAPPED.values())]
+    rows += [(10 + i, re.sub(r"\s+", "\n", v)) for i, v in enumerate(WRAPPED.values())]  # a word a line
+    rows += [(20 + i, v.replace("\n", "\n" + "other words in between " * 20 + "\n")) for i, v in enumerate(WRAPPED.values())]
+    rows += [(30, "the quick fox\n" * 3000 + WRAPPED["bsd-3-clause"] + "\nthe lazy dog" * 3000)]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labels = list(WRAPPED)
+    assert [got[i] for i in range(3)] == labels and [got[10 + i] for i in range(3)] == labels
+    assert [got[20 + i] for i in range(3)] == ["", "", ""]  # words apart are no notice
+    assert got[30] == "bsd-3-clause"
+
+
+def brute_windows(text, templates, threshold):
+    """Labels held by a line or by a window of as many words as the template has, over the threshold."""
+    split = lambda x: [w for w in re.split(license_scan.GAP, x.lower()) if w]
+    a, out = split(text), set()
+    for label, v in templates.items():
+        t, span = set(split(v)), -(-len(split(v)) * 100 // threshold)
+        blocks = [split(x) for x in text.split("\n")] + [a[i : i + span] for i in range(len(a))]
+        if any(100 * len(t & set(b)) >= threshold * len(t) for b in blocks):
+            out.add(label)
+    return out
+
+
+def test_license_scan_windows_against_brute(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        w = " ".join(rng.choice(list(license_scan.TEMPLATES.values())) for _ in range(2)).split()
+        for _ in range(rng.randrange(9)):
+            w.insert(rng.randrange(len(w)), rng.choice(["the", "ka", "of", "la"])) if rng.random() < 0.6 else w.pop(rng.randrange(len(w)))
+        rows.append((i, "".join(x + rng.choice("   \n") for x in w)))
+    got = {(r["doc_id"], r["label"]) for r in license_scan.template_matches(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.TEMPLATES).collect()}
+    assert got == {(i, x) for i, text in rows for x in brute_windows(text, license_scan.TEMPLATES, license_scan.THRESHOLD)}
+
+
 def test_native_plans_have_no_python(spark, hard):
     for df in (license_scan.scan(hard), sharding.external_shuffle(hard)):
         plan = df._jdf.queryExecution().executedPlan().toString()
