@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, need, table
+from .common import drop_kept, keep, need, spare, table
 from .components import components
 from .repeats import _has as in_bitmap
 from .repeats import bitmap
@@ -254,21 +254,35 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     need(docs, key, text)
     sets, pieces = document_sets(docs, key, text, n)
     classes = frequency_classes(pieces)
-    sets = sets.groupBy("id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("id", "s.*")
-    full = sets.where("n_shingles > 0 and id is not null")
+    nameless = sets.where("id is null").select(F.col("id").alias(key), "n_shingles", F.col("id").alias("component_id"))
+    sets = sets.where("id is not null").groupBy("id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("id", "s.*")
+    full = sets.where("n_shingles > 0")
     reps = keep(full.groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id")), "jaccard-reps")
     found = jaccard_links(docs, reps.select("id", "n_shingles"), classes, key, text, n, t)
     roots = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "s1", "s2", F.coalesce("root", "id").alias("r"))
     out = sets.join(roots, ["n_shingles", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("r", "id").alias("component_id"))
+    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("r", "id").alias("component_id")).unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, t: Fraction = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; null ids stay."""
+    """``docs`` with one document of each group, the one with the smallest id; null ids stay. Rows that share an id go only
+    if they are equal or near copies: the longer text stands first, then by text and the other columns."""
+    need(docs, key, text)
+    named, nameless = docs.where(F.col(key).isNotNull()), docs.where(F.col(key).isNull())
+    if named.groupBy(key).count().where("count > 1").isEmpty():
+        return _without_copies(named, key, text, n, t).unionByName(nameless)
+    row = spare(docs, "row")
+    others = [F.to_json(F.struct(*rest))] if (rest := [c for c in docs.columns if c not in (key, text)]) else []
+    # Ids of rows in the order of the documents' ids; written, so that each use sees the same.
+    rows = keep(named.orderBy(key, F.length(text).desc(), text, *others).withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    once = rows.groupBy(key, text).agg(F.min(row).alias(row)).select(row)  # texts without shingles are no near copies
+    return _without_copies(rows.join(once, row, "left_semi"), row, text, n, t).select(*docs.columns).unionByName(nameless)
+
+
+def _without_copies(docs: DataFrame, key: str, text: str, n: int, t: Fraction) -> DataFrame:
     groups = near_groups(docs, key, text, n, t)
     gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone"))
-    kept = docs.join(gone, F.col(key) == F.col("gone"), "left_anti")
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    return docs.join(gone, F.col(key) == F.col("gone"), "left_anti")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -372,6 +373,17 @@ def test_ngram_join_hard(clashing, empty):
     assert kept == [0, 0, 1, 3, 4, 5, 6, 7, 8, 9]
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(None, a), (None, a), (None, None), (1, a), (1, a + " ka"), (1, b), (2, a), (2, c), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.near_groups(docs).collect()]
+    assert got.count((None, None)) == 3 and len(got) == 6
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect())
+    assert kept == Counter([(None, a), (None, a), (None, None), (1, a + " ka"), (1, b), (2, c), (3, "")])
+
+
 def test_components_path(spark):
     ids = list(range(60))
     random.Random(1).shuffle(ids)
