@@ -2,14 +2,18 @@
 
 Shingles are put in one global order, rare ones first (by a frequency class from a fixed-size count table, then by
 hash). Any order gives the same links; this one keeps frequent shingles out of prefixes. The order is cut into
-fragments. Two documents whose similarity reaches the threshold must share a shingle among the first
-``n - ceil(t n) + 1`` of each, so these make the candidates; sizes and the number of shared prefix shingles prune them. For candidate
-pairs the overlap is counted separately in each fragment and summed per pair, exactly.
+fragments of about equal weight. Two documents whose similarity reaches the threshold must share a shingle among the
+first ``n - ceil(t n) + 1`` of each, so these make the candidates. A shingle of a prefix that no other document has in
+its prefix stands in no overlap with a document that it could link with, so ``n`` less the number of such shingles
+bounds each overlap: pairs whose smaller bound is below the overlap that their sizes need are not made at all. Sizes and
+the number of shared prefix shingles prune the rest. For candidate pairs the overlap is counted separately in each
+fragment and summed per pair, exactly.
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. Not all pairs of a group are made:
-first each candidate is compared with the smallest one that shares a shingle of its prefix (a star), then components
-are made, and only pairs of different components that share a prefix shingle are compared, least component against
-the rest. Pairs within a component cannot change it, so the groups are exact, whatever the size of a group.
+first each candidate is compared with the document of the largest bound that shares a shingle of its prefix (a star),
+then components are made, and only pairs of different components that share a prefix shingle are compared, least
+component against the rest. Pairs within a component cannot change it, so the groups are exact, whatever the size of a
+group.
 
 Defined cases: null and empty texts, and texts without words, have no shingle and link with nothing, not even each
 other; texts with fewer words than n have their whole sequence as the one shingle; repeated rows with the same id are
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, need, spare, table
+from .common import Remembered, drop_kept, keep, lean, need, slices, spare, table
 from .components import components
 from .repeats import _has as in_bitmap
 from .repeats import bitmap
@@ -37,9 +41,13 @@ N, THRESHOLD, FRAGMENTS = 4, Fraction(85, 100), 4
 #: The count table: 2 ** SLOT_BITS counters, summed in pieces of 2 ** PIECE_BITS.
 SLOT_BITS, PIECE_BITS = 22, 16
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-WORDS_KNOWN = 400_000
-#: Bits of the bitmaps of ids and of shingles that pass before rows move; both of fixed size.
-ID_BITS, TOKEN_BITS = 24, 26
+#: Bytes of words whose hashes a task remembers.
+KNOWN_BYTES = 48 << 20
+#: Bits of the bitmaps of ids and of shingles that pass before rows move; both of fixed size. Beyond MOST_KEYS keys they
+#: would let most rows pass, and a semi join by shuffle does it.
+ID_BITS, TOKEN_BITS, MOST_KEYS = 24, 26, 1 << 24
+#: Documents, and bytes of text, that a task holds at a time.
+ROWS, BYTES = 1000, 4 << 20
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -48,25 +56,16 @@ class Hasher:
     """Sorted distinct 64-bit shingle hashes of a text."""
 
     def __init__(self, n: int = N):
+        import xxhash
+
         self.n = n
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered(KNOWN_BYTES, xxhash.xxh3_64_intdigest)
 
     def shingles(self, text: str | None) -> np.ndarray:
-        import xxhash
-
         words = WORDS.findall((text or "").encode("utf-8", "replace").translate(UPPER))
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > WORDS_KNOWN:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(self.known.of(words), np.uint64, len(words))
         n = min(self.n, len(words))
         out = np.full(len(h) - n + 1, np.uint64(len(words) if len(words) < self.n else self.n))
         for j in range(n):
@@ -84,6 +83,15 @@ def in_order(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h * _ODD[0], classes[_slots(h)]))]
 
 
+def fragment_of(h: np.ndarray, classes: np.ndarray, fragments: int) -> np.ndarray:
+    """Fragment of each hash: equal shares of the global order by weight, a class c counting 2 ** c for each slot."""
+    weight = np.bincount(classes, minlength=64).astype(float) * 2.0 ** np.arange(max(64, int(classes.max(initial=0)) + 1))
+    weight /= weight.sum()
+    c = classes[_slots(h)]
+    place = (np.cumsum(weight) - weight)[c] + weight[c] * ((h * _ODD[0]) >> np.uint64(11)).astype(float) * 2.0**-53
+    return np.minimum((place * fragments).astype(np.int64), fragments - 1)
+
+
 def document_sets(docs: DataFrame, key: str, text: str, n: int = N) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, set_id) of each row, and the pieces of the count table, from one pass over the texts."""
     import zlib
@@ -95,7 +103,7 @@ def document_sets(docs: DataFrame, key: str, text: str, n: int = N) -> tuple[Dat
         kinds = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
         for b in batches:
             sizes, s1, s2 = [], [], []
-            for t in b.column(1):
+            for t in b.column(1):  # a text at a time
                 h = hasher.shingles(t.as_py())
                 np.add.at(counts, _slots(h), np.uint32(1))
                 sizes.append(len(h))
@@ -111,12 +119,12 @@ def document_sets(docs: DataFrame, key: str, text: str, n: int = N) -> tuple[Dat
                 yield pa.RecordBatch.from_pydict({"id": [None], "n": [None], "s1": [None], "s2": [None], "piece": [i // step], "counts": [zlib.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), 1)]}, kinds)
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    both = keep(rows.mapInArrow(run, "id long, n long, s1 long, s2 long, piece int, counts binary"), "shingle-sets")
+    both = keep(rows.mapInArrow(lean(run), "id long, n long, s1 long, s2 long, piece int, counts binary"), "shingle-sets")
     return both.where("piece is null").select("id", F.col("n").alias("n_shingles"), "s1", "s2"), both.where("piece is not null").select("piece", "counts")
 
 
 def frequency_classes(pieces: DataFrame) -> np.ndarray:
-    """Class of each slot, log2 of its count; 2 ** SLOT_BITS bytes whatever the corpus."""
+    """Class of each slot, by the power of two of its count; 2 ** SLOT_BITS bytes whatever the corpus."""
     import zlib
 
     def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +132,7 @@ def frequency_classes(pieces: DataFrame) -> np.ndarray:
         for part in parts:
             for x in part.column("counts"):
                 total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "classes": pa.array([np.where(total > 0, np.log2(np.maximum(total, 1)) + 1, 0).astype(np.uint8).tobytes()], pa.binary())})
 
     out = np.zeros(1 << SLOT_BITS, np.uint8)
     for r in pieces.groupBy("piece").applyInArrow(add, "piece int, classes binary").toLocalIterator():
@@ -140,19 +148,23 @@ def least_overlap(a, b, t: Fraction = THRESHOLD):
 
 def _only(rows: DataFrame, keys: DataFrame, bits: int, shape: str) -> DataFrame:
     """Rows whose first column may be among the keys, by a bitmap of fixed size; others go before they are moved."""
+    first, name = rows.columns[0], keys.columns[0]
+    keys = keys.distinct()
+    if keys.count() > MOST_KEYS:
+        return rows.join(keys.select(F.col(name).alias("_key")), F.col(first) == F.col("_key"), "left_semi")
     sent = rows.sparkSession.sparkContext.broadcast(bitmap(keys, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy().view(np.uint64))))
 
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(lean(run), shape)
 
 
 def _wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """(h, id, t) of documents that may be among the ids, without a shuffle of texts."""
     rows = docs.where(F.col(key).isNotNull()).select(F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return _only(rows, ids.select(F.xxhash64("id")), ID_BITS, "h long, id long, t string").select("id", "t")
+    return _only(rows, ids.select(F.xxhash64("id").alias("h")), ID_BITS, "h long, id long, t string").select("id", "t")
 
 
 def prefix_bound(a, b, t: Fraction):
@@ -168,8 +180,8 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo, many in slices(b.column(1), ROWS, BYTES):
+                part = b.slice(lo, many)
                 ids, sizes, token = [], [], []
                 for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     h = in_order(hasher.shingles(x.as_py()), sent.value)
@@ -179,55 +191,60 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
                     token.append(p.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, ids, sizes)], ["token", "id", "n"])
 
-    tokens = keep(_wanted_texts(docs, reps, key, text).mapInArrow(prefixes, "token long, id long, n int"), "prefixes")
+    tokens = keep(_wanted_texts(docs, reps, key, text).mapInArrow(lean(prefixes), "token long, id long, n int"), "prefixes")
     # A shingle that only one representative has in its prefix makes no pair: most rows go before they are moved.
-    heads = keep(tokens.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("token", "hub"), "prefix-hubs")
-    shared = _only(tokens, heads.select("token"), TOKEN_BITS, "token long, id long, n int").join(heads, "token")
-    shared = keep(shared.groupBy("token", "hub", "id").agg(F.max("n").alias("n")), "prefix-shared")  # repeated rows count once
-    fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+    heads = keep(tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("token"), "prefix-tokens")
+    many = _only(tokens, heads, TOKEN_BITS, "token long, id long, n int").join(heads, "token", "left_semi")
+    many = keep(many.groupBy("token", "id").agg(F.max("n").alias("n")), "prefix-many")  # repeated rows count once
+    # m bounds the overlap of a document with any that it could link with.
+    alone = F.greatest(F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1 - F.count(F.lit(1)), F.lit(0))
+    own = many.groupBy("id", "n").agg((F.col("n") - alone).cast("int").alias("m"))
+    shared = keep(many.join(own.groupBy("id").agg(F.max("m").alias("m")), "id"), "prefix-shared")
+    drop_kept(tokens, heads, many)
+    fits = lambda a, b, ma, mb: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num) & (F.least(ma, mb) >= least_overlap(F.col(a), F.col(b), t))
     # Star: each document against the hub that it shares most shingles with. What this misses, the second round finds.
-    sizes = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"))
-    stars = shared.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("nb"))
-    stars = stars.join(sizes, "a").where(fits("na", "nb") & (2 * F.col("k") >= prefix_bound(F.col("na"), F.col("nb"), t)))
+    hubs = shared.groupBy("token").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")), F.struct(F.col("m") / F.col("n"), -F.col("id"))).alias("hub")).select("token", "hub.*")
+    stars = shared.join(hubs, "token").where((F.col("id") != F.col("a")) & fits("na", "n", "ma", "m"))
+    stars = stars.groupBy("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("k"))
+    stars = stars.where(2 * F.col("k") >= prefix_bound(F.col("na"), F.col("nb"), t))
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
-    links = keep(verify(docs, stars.select("a", "b"), key, text, n, t), "jaccard-stars")
+    links = verify(docs, stars.select("a", "b"), classes, key, text, n, t)
     found = components(links)
     # Second round: only shingles whose holders are in different components. The component with most holders stays out
     # of one side, so a large group meets only the few others. A pair is met at every prefix shingle that it shares,
     # and must share as many as the bound asks.
-    held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+    held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "m", F.coalesce("root", "id").alias("root"))
     mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     held = keep(held.join(mixed.select("token"), "token", "left_semi"), "prefix-mixed")
     per_root = held.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"))
     main = per_root.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("main"))
-    left = held.join(main, "token").where("root <> main").select("token", F.col("id").alias("ia"), F.col("n").alias("xa"), F.col("root").alias("ra"), "main")
-    right = held.select("token", F.col("id").alias("ib"), F.col("n").alias("xb"), F.col("root").alias("rb"))
+    left = held.join(main, "token").where("root <> main").select("token", F.col("id").alias("ia"), F.col("n").alias("xa"), F.col("m").alias("ma"), F.col("root").alias("ra"), "main")
+    right = held.select("token", F.col("id").alias("ib"), F.col("n").alias("xb"), F.col("m").alias("mb"), F.col("root").alias("rb"))
     once = (F.col("rb") == F.col("main")) | (F.col("ia") < F.col("ib"))
-    pairs = left.join(right, "token").where((F.col("ra") != F.col("rb")) & once & fits("xa", "xb"))
+    pairs = left.join(right, "token").where((F.col("ra") != F.col("rb")) & once & fits("xa", "xb", "ma", "mb"))
     pairs = pairs.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y")).agg(F.count(F.lit(1)).alias("k"))
     pairs = pairs.where(F.col("k") >= prefix_bound(F.col("x"), F.col("y"), t)).select("a", "b")
-    more = keep(verify(docs, pairs, key, text, n, t), "jaccard-rest")
+    more = verify(docs, pairs, classes, key, text, n, t)
     out = components(links.select("a", "b").unionByName(more.select("a", "b"))) if not more.isEmpty() else found
-    for df in (tokens, heads, shared, held):
-        drop_kept(df)
+    drop_kept(shared, held, links, more)
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS) -> DataFrame:
     """Pairs whose overlap, counted in each fragment of the global order and summed, reaches the threshold."""
     pairs = keep(pairs, "jaccard-pairs")
     rows = _wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
+    sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo, many in slices(b.column(1), ROWS, BYTES):
+                part = b.slice(lo, many)
                 out: dict[str, list] = {"id": [], "frag": [], "n": [], "seg": []}
                 for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     h = hasher.shingles(x.as_py())
-                    # A fragment is a range of the key that orders shingles within their class.
-                    frag = ((h * _ODD[0]) >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+                    frag = fragment_of(h, sent.value, fragments)
                     for f in range(fragments):
                         out["id"].append(i)
                         out["frag"].append(f)
@@ -235,7 +252,7 @@ def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, n: int, t: Fr
                         out["seg"].append(h[frag == f].view(np.int64))
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("frag", pa.int32()), ("n", pa.int32()), ("seg", pa.list_(pa.int64()))]))
 
-    segments = rows.mapInArrow(cut, "id long, frag int, n int, seg array<long>")
+    segments = rows.mapInArrow(lean(cut), "id long, frag int, n int, seg array<long>")
     segments = keep(segments, "jaccard-segments")
     if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         one = segments
@@ -246,7 +263,9 @@ def verify(docs: DataFrame, pairs: DataFrame, key: str, text: str, n: int, t: Fr
     part = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("shared"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     union = F.col("na") + F.col("nb") - F.col("shared")
-    return total.where(F.col("shared") * t.denominator >= union * t.numerator)
+    out = keep(total.where(F.col("shared") * t.denominator >= union * t.numerator), "jaccard-links")
+    drop_kept(pairs, segments)
+    return out
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, t: Fraction = THRESHOLD) -> DataFrame:
@@ -281,8 +300,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 
 def _without_copies(docs: DataFrame, key: str, text: str, n: int, t: Fraction) -> DataFrame:
     groups = near_groups(docs, key, text, n, t)
-    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone"))
-    return docs.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    name = spare(docs, "gone")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name))
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
