@@ -36,13 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local.setdefault(app, tempfile.mkdtemp(prefix="rangeloom-"))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, and any executor may be lost after."""
+def keep(df: DataFrame, name: str, up: int | None = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, and any executor may be lost after.
+
+    It goes with the scratch() around, or one ``up`` scopes further out; None: it stays.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if up is not None and up < len(_scopes):
+        _scopes[-1 - up].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
