@@ -29,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Remembered, drop_kept, keep, lean, need, slices, spare, table
@@ -83,13 +83,20 @@ def in_order(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h * _ODD[0], classes[_slots(h)]))]
 
 
-def fragment_of(h: np.ndarray, classes: np.ndarray, fragments: int) -> np.ndarray:
-    """Fragment of each hash: equal shares of the global order by weight, a class c counting 2 ** c for each slot."""
-    weight = np.bincount(classes, minlength=64).astype(float) * 2.0 ** np.arange(max(64, int(classes.max(initial=0)) + 1))
-    weight /= weight.sum()
-    c = classes[_slots(h)]
-    place = (np.cumsum(weight) - weight)[c] + weight[c] * ((h * _ODD[0]) >> np.uint64(11)).astype(float) * 2.0**-53
-    return np.minimum((place * fragments).astype(np.int64), fragments - 1)
+class Fragments:
+    """Equal shares of the global order by weight, a class c counting 2 ** c for each slot."""
+
+    def __init__(self, classes: np.ndarray, fragments: int):
+        self.classes, self.fragments = classes, fragments
+        weight = np.bincount(classes, minlength=64).astype(float) * 2.0 ** np.arange(64)
+        self.share = weight / weight.sum()
+        self.before = np.cumsum(self.share) - self.share
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The fragment of each hash."""
+        c = self.classes[_slots(h)]
+        place = self.before[c] + self.share[c] * ((h * _ODD[0]) >> np.uint64(11)).astype(float) * 2.0**-53
+        return np.minimum((place * self.fragments).astype(np.int64), self.fragments - 1)
 
 
 def document_sets(docs: DataFrame, key: str, text: str, n: int = N) -> tuple[DataFrame, DataFrame]:
@@ -210,23 +217,32 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
     links = verify(docs, stars.select("a", "b"), classes, key, text, n, t)
     found = components(links)
-    # Second round: only shingles whose holders are in different components. The component with most holders stays out
-    # of one side, so a large group meets only the few others. A pair is met at every prefix shingle that it shares,
-    # and must share as many as the bound asks.
-    held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "m", F.coalesce("root", "id").alias("root"))
-    mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    held = keep(held.join(mixed.select("token"), "token", "left_semi"), "prefix-mixed")
+    # Second round: only shingles whose holders are in different components can be common to a pair that is left. The
+    # component with most holders stays out of one side, so a large group meets only the few others. Among these
+    # shingles, put in order by their holders, a pair that has ``least`` in common has one of them in common within the
+    # first ``s - least + 1`` of each document; it is made there, not at every shingle that it shares.
+    held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+    mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("holders")).where("low <> high")
+    held = keep(held.join(mixed.select("token", "holders"), "token"), "prefix-mixed")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("holders", "token"))
+    own = held.groupBy("id").agg(F.count(F.lit(1)).alias("s"))
+    alone = F.greatest(F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1 - F.col("s"), F.lit(0))
+    ranked = keep(held.withColumn("r", rank).join(own, "id").withColumn("m", F.col("n") - alone), "prefix-ranked")
     per_root = held.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"))
     main = per_root.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("main"))
-    left = held.join(main, "token").where("root <> main").select("token", F.col("id").alias("ia"), F.col("n").alias("xa"), F.col("m").alias("ma"), F.col("root").alias("ra"), "main")
-    right = held.select("token", F.col("id").alias("ib"), F.col("n").alias("xb"), F.col("m").alias("mb"), F.col("root").alias("rb"))
-    once = (F.col("rb") == F.col("main")) | (F.col("ia") < F.col("ib"))
-    pairs = left.join(right, "token").where((F.col("ra") != F.col("rb")) & once & fits("xa", "xb", "ma", "mb"))
-    pairs = pairs.groupBy(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), F.least("xa", "xb").alias("x"), F.greatest("xa", "xb").alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = pairs.where(F.col("k") >= prefix_bound(F.col("x"), F.col("y"), t)).select("a", "b")
+    side = lambda x, rows: rows.select("token", *[F.col(c).alias(c + x) for c in ("id", "n", "m", "r", "s", "root")])
+    left = side("a", ranked).join(main, "token").where("roota <> main")
+    once = (F.col("rootb") == F.col("main")) | (F.col("ida") < F.col("idb"))
+    least = F.greatest(prefix_bound(F.col("na"), F.col("nb"), t), F.lit(1))
+    early = (F.col("ra") <= F.col("sa") - least + 1) & (F.col("rb") <= F.col("sb") - least + 1)
+    pairs = left.join(side("b", ranked), "token").where((F.col("roota") != F.col("rootb")) & once & fits("na", "nb", "ma", "mb") & early)
+    pairs = pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    lists = held.groupBy("id").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens"))  # a document's own prefix
+    both = pairs.join(lists.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a").join(lists.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
+    pairs = both.where(F.size(F.array_intersect("ta", "tb")) >= prefix_bound(F.col("na"), F.col("nb"), t)).select("a", "b")
     more = verify(docs, pairs, classes, key, text, n, t)
     out = components(links.select("a", "b").unionByName(more.select("a", "b"))) if not more.isEmpty() else found
-    drop_kept(shared, held, links, more)
+    drop_kept(shared, held, ranked, links, more)
     return out
 
 
@@ -237,14 +253,14 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, key: str, tex
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(n)
+        hasher, order = Hasher(n), Fragments(sent.value, fragments)
         for b in batches:
             for lo, many in slices(b.column(1), ROWS, BYTES):
                 part = b.slice(lo, many)
                 out: dict[str, list] = {"id": [], "frag": [], "n": [], "seg": []}
                 for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     h = hasher.shingles(x.as_py())
-                    frag = fragment_of(h, sent.value, fragments)
+                    frag = order.of(h)
                     for f in range(fragments):
                         out["id"].append(i)
                         out["frag"].append(f)
