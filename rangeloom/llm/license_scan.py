@@ -1,19 +1,19 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Text blocks are lines, and windows of consecutive words of the whole text, whatever its line breaks: notices are often
-wrapped. A window for a template is as long as its text and as many words more as THRESHOLD leaves room for. A template
-is a set of words; a block holds it if it has at least THRESHOLD of the template's words. Words are ordered by how many
-corpus lines have them, rarest first. A block that holds a template shares at least ``need = ceil(THRESHOLD * size)``
-words with it, hence one of the ``size - need + 1`` rarest (prefix filter); it has at least ``need`` words (length
-filter); and if the first shared word is the k-th of the template, ``size - k`` are left, which must reach ``need``
-(positional filter). Blocks that pass are verified by counting shared words. For windows the prefix and length filters
-are asked of the whole text's words; then the windows that start at a template word are counted, as any other has no
-more of them than one of these.
+A block of a text for a template is a run of consecutive words, whatever the line breaks between them, as long as the
+template and as many words more as THRESHOLD leaves room for; every run of a text is a block. A template is a set of
+words; a block holds it if it has at least THRESHOLD of the template's words, so words scattered over more than a block
+do not count. Words are ordered by how many texts have them, rarest first. A block that holds a template shares at
+least ``need = ceil(THRESHOLD * size)`` words with it, hence one of the ``size - need + 1`` rarest (prefix filter); its
+text has at least ``need`` of them (length filter); and if the first word that the text has is the k-th of the template,
+``size - k`` are left, which must reach ``need`` (positional filter). Texts that pass meet the template once, and their
+blocks are verified by counting shared words; blocks that start at a template word suffice, as any other has no more of
+them than one of these.
 
-Besides, phrases are found wherever their words stand one after another, across lines too (base labels).
+Besides, phrases are found wherever their words stand one after another (base labels).
 
-Templates are a fixed, small table, so the join's build side has a proven bound. Only texts with template words leave
-the scan; nothing is grouped by a word of the corpus, so frequent words do not gather in a task.
+Templates are a fixed, small table, so the join's build side has a proven bound. Only texts with a word of a prefix
+leave the scan; nothing is grouped by a word of the corpus, so frequent words do not gather in a task.
 
 Defined cases: a null text is empty: no words, no labels, null first and last word, score 0. Ties between templates
 give all their labels. Repeated rows give a row each. Other columns are not read. An empty table gives no rows.
@@ -22,7 +22,7 @@ give all their labels. Repeated rows give a row each. Other columns are not read
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +31,24 @@ from .common import need, table
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates: label -> text. Words as in the documents.
+#: The wording of public licenses' notices. Words as in the documents.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2.0",
+    "apache-2.0-header": "you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-warranty": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "cc-by-nc-4.0": "licensed under cc by nc 4.0",
     "cc-by-sa-4.0": "licensed under cc by sa 4.0",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit-permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-release": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
 }
 #: A block holds a template from this share of the template's words on, in percent.
 THRESHOLD = 80
@@ -48,6 +56,8 @@ THRESHOLD = 80
 #: What is not a word: ASCII without digits and lower-case letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The one character beyond ASCII whose lower case is an ASCII letter of its own.
+KELVIN = "K"
 
 
 def _tokens(text: str) -> list[str]:
@@ -60,57 +70,65 @@ def template_words(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: sorted(set(_tokens(v))) for k, v in sorted(templates.items())}
 
 
+def block_words(templates: dict[str, str], threshold: int = THRESHOLD) -> dict[str, int]:
+    """Words of a block for each template."""
+    return {k: -(-len(_tokens(v)) * 100 // threshold) for k, v in templates.items()}
+
+
+def _lower(text: Column) -> Column:
+    """A-Z in lower case. lower() does the same to every ASCII word and is faster, but for one character."""
+    return F.when(text.contains(KELVIN), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
 def _spaced(text: Column) -> Column:
     """The words of a text, each with one blank before and the last with one after."""
-    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), GAP, " ")
+    return F.regexp_replace(F.concat(F.lit(" "), _lower(text), F.lit(" ")), GAP, " ")
 
 
-def word_order(lines: DataFrame, words: list[str]) -> DataFrame:
-    """(word, place): template words by how many lines have them, rarest first; ties by the word. As many rows as template words."""
-    counts = [F.count_if(F.array_contains("words", w)).alias(f"w{i}") for i, w in enumerate(words)]
-    row = lines.agg(*counts).select(F.inline(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"w{i}").alias("n")) for i, w in enumerate(words)])))
-    return row.agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("s")).select(F.posexplode("s").alias("place", "s")).select(F.col("s.word").alias("word"), "place")
+def _has(spaced: str, word: str) -> Column:
+    return F.col(spaced).contains(f" {word} ")
 
 
-def template_matches(docs: DataFrame, templates: dict[str, str], threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, label, shared, size): every line that holds a template, with a row for each such pair; and with a null
-    line, every text with a window that does, with the words of the best one."""
+def word_order(texts: DataFrame, words: list[str]) -> DataFrame:
+    """(word, place): template words by how many texts have them, rarest first; ties by the word. As many rows as template words."""
+    padded = F.array(*[F.lit(f" {w} ") for w in words])
+    held = texts.select(F.explode(F.filter(padded, lambda x: F.col("w").contains(x))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    own = texts.sparkSession.createDataFrame([(w, f" {w} ") for w in words], "word string, padded string")
+    row = own.join(held.withColumnRenamed("word", "padded"), "padded", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("s"))
+    return row.agg(F.sort_array(F.collect_list("s")).alias("s")).select(F.posexplode("s").alias("place", "s")).select(F.col("s.word").alias("word"), "place")
+
+
+def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, h, label, shared, size): every text with a block that holds a template, h a hash of the text, with the
+    template's words that the best block has."""
     need(docs, key, text)
-    sets = template_words(templates)
+    sets, spans = template_words(templates), block_words(templates, threshold)
     vocabulary = sorted({w for ws in sets.values() for w in ws})
     least = {k: -(-len(ws) * threshold // 100) for k, ws in sets.items()}
-    few = min(least.values())
-    # A line is worth splitting only if it has a word that can be in some template's prefix: here, any template word.
-    tight = F.array(*[F.lit(w) for w in vocabulary])
-    stems = ("licen", "permi", "redistrib", "subject", "released")
-    likely = F.col("block").rlike("|".join(stems)) if _all_have(sets, stems, least) else F.lit(True)
-    texts = docs.where(F.col(text).isNotNull()).select(key, F.lower(F.col(text)).alias("block")).where(likely)
-    lines = texts.select(F.col(key), F.posexplode(F.split("block", "\n")).alias("line", "block")).where(likely)
-    lines = lines.select(key, "line", F.array_intersect(F.split("block", GAP), tight).alias("words")).where(F.size("words") >= few)
-    order = word_order(lines, vocabulary)
+    given = docs.where(F.col(text).isNotNull())
+    spaced = _spaced(F.col(text))
+    texts = given.select(spaced.alias("w"))
+    # The order, as many words as the templates have; it goes into the plan of the scan.
+    place = {r["word"]: r["place"] for r in word_order(texts, vocabulary).collect()}
     spark = docs.sparkSession
-    flat = spark.createDataFrame([(k, w, len(ws), least[k]) for k, ws in sets.items() for w in ws], "label string, word string, size int, need int")
-    # Per template its words in corpus order; the prefix is its first size - need + 1 words.
-    ordered = flat.join(F.broadcast(order), "word").groupBy("label", "size", "need").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("t_words"))
-    prefix = ordered.select("label", "size", "need", "t_words", F.posexplode(F.slice("t_words", 1, F.col("size") - F.col("need") + 1)).alias("k", "word"))
-    rows = lines.select(key, "line", "words", F.explode("words").alias("word"))
-    near = rows.join(F.broadcast(prefix), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("k") >= F.col("need")))
-    shared = F.size(F.array_intersect("words", "t_words"))
-    # A pair counts once: by the first word of the prefix that the block has.
+    rows = []
+    for k, ws in sets.items():
+        ws = sorted(ws, key=place.__getitem__)
+        rows += [(k, len(ws), least[k], spans[k], ws, i, w) for i, w in enumerate(ws[: len(ws) - least[k] + 1])]
+    prefix = spark.createDataFrame(rows, "label string, size int, need int, span int, t_words array<string>, k int, word string")
+    rare = sorted({r[-1] for r in rows})
+    # Prefix filter: most texts have no such word and go before they are split. An array of one binds the words to a name.
+    some = F.exists(F.array(spaced), lambda w: reduce(or_, [w.contains(f" {r} ") for r in rare]))
+    near = given.where(some).select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), spaced.alias("w"))
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    at = F.filter(F.transform(F.split(F.trim("w"), " "), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(known, x["word"]))
+    near = near.select("doc", "h", at.alias("all"))
+    near = near.withColumn("words", F.array_distinct(F.transform("all", lambda x: x["word"])))
+    rows = near.select("doc", "h", "all", "words", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in rare]))).alias("word"))
+    pairs = rows.join(F.broadcast(prefix), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("k") >= F.col("need")))
+    # A pair counts once: by the first word of the template that the text has.
     first = F.element_at(F.filter("t_words", lambda w: F.array_contains(F.col("words"), w)), 1) == F.col("word")
-    found = near.where(first).withColumn("shared", shared).where(F.col("shared") >= F.col("need")).select(key, "line", "label", "shared", "size")
-    spans = F.broadcast(spark.createDataFrame([(k, -(-len(_tokens(templates[k])) * 100 // threshold)) for k in sets], "label string, span int"))
-    return found.unionByName(_window_matches(texts, ordered.join(spans, "label"), tight, few, key))
-
-
-def _window_matches(texts: DataFrame, ordered: DataFrame, tight: Column, few: int, key: str) -> DataFrame:
-    """(key, null line, label, shared, size): texts with a window of ``span`` words that holds a template."""
-    at = F.filter(F.transform("a", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(tight, x["word"]))
-    rows = texts.select(key, F.split("block", GAP).alias("a")).where(F.size(F.array_intersect("a", tight)) >= few)
-    rows = rows.select(key, at.alias("all")).withColumn("words", F.array_distinct(F.transform("all", lambda x: x["word"])))
-    # The templates are few and the filters cheap, so every text meets every template.
-    close = (F.size("words") >= F.col("need")) & F.arrays_overlap("words", F.slice("t_words", 1, F.col("size") - F.col("need") + 1))
-    near = rows.join(F.broadcast(ordered), close & (F.size(F.array_intersect("words", "t_words")) >= F.col("need")))
+    pairs = pairs.where(first & (F.size(F.array_intersect("words", "t_words")) >= F.col("need")))
     hits = F.filter("all", lambda x: F.array_contains(F.col("t_words"), x["word"]))
 
     def most(h: Column) -> Column:
@@ -120,14 +138,9 @@ def _window_matches(texts: DataFrame, ordered: DataFrame, tight: Column, few: in
 
         return F.array_max(F.transform(h, held))
 
-    # An array of one binds the hits to a name; as a column, Spark would put their expression in each place, and take squares of time.
-    best = near.withColumn("shared", F.get(F.transform(F.array(hits), most), F.lit(0))).where(F.col("shared") >= F.col("need"))
-    return best.select(key, F.lit(None).cast("int").alias("line"), "label", "shared", "size")
-
-
-def _all_have(sets: dict[str, list[str]], stems: tuple[str, ...], least: dict[str, int]) -> bool:
-    """True if any block that holds a template must have a word with one of the stems."""
-    return all(len(ws) - sum(any(s in w for s in stems) for w in ws) < least[k] for k, ws in sets.items())
+    # As a column, Spark would put the expression of the hits in each place, and take squares of time.
+    best = pairs.withColumn("shared", F.get(F.transform(F.array(hits), most), F.lit(0))).where(F.col("shared") >= F.col("need"))
+    return best.select(F.col("doc").alias(key), "h", "label", "shared", "size")
 
 
 def _places(phrase: str, label: str) -> Column:
@@ -141,21 +154,18 @@ def _places(phrase: str, label: str) -> Column:
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: words, places of phrases, and labels of phrases and templates."""
     need(docs, key, text)
-    body = F.coalesce(F.col(text), F.lit(""))
-    spaced = _spaced(body)
-    some = "|".join(phrases)
-    base = docs.select(F.col(key).alias("doc"), spaced.alias("w"))
+    base = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), _spaced(F.coalesce(F.col(text), F.lit(""))).alias("w"))
     n_words = F.greatest(F.length("w") - F.length(F.replace(F.col("w"), F.lit(" "), F.lit(""))) - 1, F.lit(0)).cast("long")
     # Work on word arrays only where a phrase is there at all.
-    hit = F.when(F.col("w").rlike(f" (?:{some}) "), F.split(F.trim("w"), " "))
-    base = base.select("doc", n_words.alias("n_words"), hit.alias("a"))
+    hit = F.when(reduce(or_, [_has("w", p) for p in phrases]), F.split(F.trim("w"), " "))
+    base = base.select("doc", "h", n_words.alias("n_words"), hit.alias("a"))
     places = [_places(phrase, label) for phrase, label in phrases.items()]
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    base = base.withColumn("p", F.concat(*[F.coalesce(x, none) for x in places]))
-    found = template_matches(docs, templates, threshold, key, text).groupBy(F.col(key).alias("t_doc")).agg(
+    base = base.select("doc", "h", "n_words", F.concat(*[F.coalesce(x, none) for x in places]).alias("p"))
+    found = template_matches(docs, templates, threshold, key, text).groupBy(F.col(key).alias("t_doc"), F.col("h").alias("t_h")).agg(
         F.collect_set("label").alias("t_labels"), F.max(F.col("shared") / F.col("size")).alias("t_score")
     )  # collect_set: one value for each template at most
-    out = base.join(found, F.col("doc").eqNullSafe(F.col("t_doc")), "left")
+    out = base.join(found, F.col("doc").eqNullSafe(F.col("t_doc")) & (F.col("h") == F.col("t_h")), "left")
     own = F.array_distinct(F.transform("p", lambda x: x["label"]))
     extra = F.coalesce("t_labels", F.array().cast("array<string>"))
     return out.select(
@@ -175,19 +185,18 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    sets = template_words(TEMPLATES)
+    sets, spans = template_words(TEMPLATES), block_words(TEMPLATES)
     words = r"list_filter(string_split_regex(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
     lists = {p: "[" + ", ".join(f"'{w}'" for w in p.split(" ")) + "]" for p in PHRASES}
     base = "list_sort(list_concat(" + ", ".join(f"list_transform(list_filter(range(len(a)), lambda i: a[i + 1 : i + {len(p.split(' '))}] = {lists[p]}), lambda i: {{'at': i, 'label': '{v}'}})" for p, v in PHRASES.items()) + "))"
-    rows = ", ".join(f"('{k}', [{', '.join(repr(w) for w in ws)}])" for k, ws in sets.items())
+    rows = ", ".join(f"('{k}', [{', '.join(repr(w) for w in ws)}], {spans[k]})" for k, ws in sets.items())
     return f"""
-WITH w AS (SELECT doc_id, text, {words} AS a FROM documents),
+WITH w AS (SELECT doc_id, {words} AS a FROM documents),
 b AS (SELECT doc_id, len(a) AS n_words, {base} AS p FROM w),
-t(label, ws) AS (VALUES {rows}),
-l AS (SELECT doc_id, list_distinct(string_split_regex(block, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS ws
-      FROM (SELECT doc_id, unnest(string_split(translate(text, '{UPPER}', '{LOWER}'), chr(10))) AS block FROM documents) WHERE block LIKE '%e%'),
-m AS (SELECT doc_id, label, max(len(list_intersect(l.ws, t.ws)) / len(t.ws)) AS score FROM l, t
-      WHERE 100 * len(list_intersect(l.ws, t.ws)) >= {THRESHOLD} * len(t.ws) GROUP BY ALL),
+t(label, ws, span) AS (VALUES {rows}),
+c AS (SELECT doc_id, a, label, ws, span FROM w, t WHERE 100 * len(list_intersect(a, ws)) >= {THRESHOLD} * len(ws)),
+s AS (SELECT doc_id, label, ws, len(list_intersect(a[i : i + span - 1], ws)) AS shared FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM c) WHERE list_contains(ws, a[i])),
+m AS (SELECT doc_id, label, max(shared / len(ws)) AS score FROM s WHERE 100 * shared >= {THRESHOLD} * len(ws) GROUP BY ALL),
 g AS (SELECT doc_id, list(label) AS ls, max(score) AS score FROM m GROUP BY doc_id),
 o AS (SELECT b.doc_id, n_words, p, list_distinct(list_transform(p, lambda x: x.label)) AS own, coalesce(ls, []) AS ls, score FROM b LEFT JOIN g ON b.doc_id = g.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word,
