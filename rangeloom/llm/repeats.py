@@ -5,13 +5,22 @@ equal windows have their trigger at the same offset wherever they are. Consecuti
 phrase: the bytes that these windows cover. The parse of a document is its phrases in order, about one for each
 hundred bytes, and the dictionary has each different phrase once, with its number of uses.
 
-Combine. All windows of a phrase used twice are repeated. A window of another phrase can only be repeated in a phrase
-that shares its core to the left or to the right of the trigger; cores that several phrases share go into a bitmap of
-fixed size. For phrases with such a core, and only those, blocks of windows are compared, and single windows only where
-several blocks share a core and one of them stands alone. Strings are compared by 64-bit hashes of their bytes. Because the length is fixed, classes of equal windows take the place of the full suffix order.
-
-Counts come from sums with partial sums, each task gives a phrase's windows once, and spans meet their own document
-only, so no repeated passage gathers in a task.
+Dictionary. What repeats is told by the order of the dictionary's suffixes of LENGTH bytes or more: those that have LENGTH
+bytes in common with a neighbour, and all of a phrase that is used twice. Most suffixes need no place in the order. One
+can only have such a neighbour in a phrase that shares its core to the left or to the right of the trigger; cores that
+several phrases share go into a bitmap of fixed size. Suffixes of phrases with such a core are taken in blocks of
+neighbouring starts; equal blocks are repeated as a whole, and only blocks that share what all their suffixes have in
+common with another, unlike block are opened. Their suffixes are sorted: by the name of the block's common string, the
+offset from it, and then byte by byte by the bytes around it, so that suffixes with LENGTH bytes in common are next to
+each other. The order is made by range, so a name with many suffixes is dealt over tasks, and neighbours are compared
+in one pass over each range.
+
+Combine. Each suffix in a run of the order, and each use of a repeated phrase or block in the parse, gives a span.
+
+Counts come from sums with partial sums, each task gives a phrase's suffixes once, and spans meet their own document
+only, so no repeated passage gathers in a task. Long texts are parsed in parts that overlap by a window; a phrase cut
+there is like one at the end of a text. Phrases and blocks are compared by two 64-bit hashes, of all their bytes and of
+their cores, and the bytes around a name as they are.
 
 Defined cases: a null text is empty: 0 bytes, nothing removed; texts below LENGTH bytes lose nothing; repeated rows are
 documents like others, so a repeated row of LENGTH bytes or more loses all; null ids are kept; an empty table gives no
@@ -28,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, need, spare, table
+from .common import drop_kept, keep, lean, need, slices, spare, table
 
 LENGTH, SEED = 200, 16
 #: Offsets from the trigger that make a block of windows.
@@ -39,7 +48,10 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 2**64)
-POSITION_BITS = 28
+#: Windows of a text that are parsed at a time, and bits for a place among them.
+PART, POSITION_BITS = 1 << 18, 19
+#: Rows, and bytes of text, that a task holds at a time; phrases that it remembers to have given.
+ROWS, BYTES, GIVEN = 256, 2 << 20, 200_000
 
 
 class Powers:
@@ -115,17 +127,23 @@ def _raw(value) -> bytes:
     return (value.as_py() or "").encode("utf-8", "replace")
 
 
+def _parts(raw: bytes, powers: Powers) -> Iterator[tuple[int, Text]]:
+    """The parse of a text, in parts of PART windows; with the place where each part begins."""
+    for lo in range(0, max(0, len(raw) - LENGTH) + 1, PART):
+        yield lo, Text(raw[lo : lo + PART + LENGTH - 1], powers)
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for b in batches:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
+        for lo, many in slices(b.column(1), ROWS, BYTES):
+            part = b.slice(lo, many)
             cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for uid, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                x = Text(_raw(t), powers)
-                if len(x.start):
-                    for c, v in zip(cols, (*x.phrases(), np.full(len(x.start), uid, np.int64), x.start.astype(np.int32), (x.stop - x.start).astype(np.int16)), strict=True):
-                        c.append(v)
+                for base, x in _parts(_raw(t), powers):
+                    if len(x.start):
+                        for c, v in zip(cols, (*x.phrases(), np.full(len(x.start), uid, np.int64), (x.start + base).astype(np.int32), (x.stop - x.start).astype(np.int16)), strict=True):
+                            c.append(v)
             if cols[0]:
                 h, kl, kr, uid, s, n = (np.concatenate(c) for c in cols)
                 yield pa.RecordBatch.from_arrays([_signed(h), _signed(kl), _signed(kr), pa.array(uid), pa.array(s), pa.array(n)], ["h", "kl", "kr", "uid", "s", "n"])
@@ -136,13 +154,14 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     piece = PIECE_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << bits, bool)
+        own = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
-            own[(b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
         for i in range(1 << max(0, bits - piece)):
-            part = own[i << piece : (i + 1) << piece]
+            part = own[i << (piece - 3) : (i + 1) << (piece - 3)]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "part": pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "part": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     def join(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << (piece - 3), np.uint8)
@@ -152,7 +171,7 @@ def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"i": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in keys.mapInArrow(mark, "i int, part binary").groupBy("i").applyInArrow(join, "i int, part binary").toLocalIterator():
+    for r in keys.mapInArrow(lean(mark), "i int, part binary").groupBy("i").applyInArrow(join, "i int, part binary").toLocalIterator():
         at = r["i"] << (piece - 3)
         out[at : at + (1 << (piece - 3))] = np.frombuffer(r["part"], np.uint8)
     return out
@@ -173,78 +192,123 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     need(docs, key, text)
     rows = _with_uid(docs, key, text).select("uid", "t")
     spark = docs.sparkSession
-    parse = keep(rows.mapInArrow(_parse, "h long, kl long, kr long, uid long, s int, n short"), "phrases")
-    words = parse.groupBy("h").agg(F.count(F.lit(1)).alias("uses"), F.first("kl").alias("kl"), F.first("kr").alias("kr"))
-    dictionary = keep(words.select("h", F.least(F.col("uses"), F.lit(2)).cast("byte").alias("uses"), "kl", "kr"), "dictionary")
+    parse = keep(rows.mapInArrow(lean(_parse), "h long, kl long, kr long, uid long, s int, n short"), "phrases")
+    words = parse.groupBy("h", "kl", "kr").agg(F.count(F.lit(1)).alias("uses"))
+    dictionary = keep(words.select("h", "kl", "kr", F.least(F.col("uses"), F.lit(2)).cast("byte").alias("uses")), "dictionary")
     cores = dictionary.select(F.explode(F.array("kl", "kr")).alias("core"), "uses").where("core <> 0")
     cores = cores.groupBy("core").agg(F.count(F.lit(1)).alias("phrases"), F.min("uses").alias("least")).where("phrases > 1 and least = 1")
     sent = spark.sparkContext.broadcast(bitmap(cores.select("core"), CORE_BITS))  # 2 ** CORE_BITS bits
-    # Windows of such phrases in blocks of BLOCK offsets; a block used twice is repeated as a whole.
-    blocks = keep(rows.mapInArrow(_blocks(sent), "bh long, place long, uid long, s int, n short"), "blocks")
-    uses = blocks.groupBy("bh").agg(F.count(F.lit(1)).alias("uses"), F.first("place").alias("place"))
-    open_ = uses.groupBy("place").agg(F.count(F.lit(1)).alias("blocks"), F.min("uses").alias("least")).where("blocks > 1 and least = 1")
-    still = spark.sparkContext.broadcast(bitmap(open_.select("place"), CORE_BITS))
-    single = keep(rows.mapInArrow(_blocks(sent, still), "bh long, place long, uid long, s int, n short").select(F.col("bh").alias("wh"), "uid", "s"), "windows")
-    again = single.groupBy("wh").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("wh")
+    # Suffixes of such phrases in blocks of BLOCK starts; a block used twice is repeated as a whole.
+    blocks = keep(rows.mapInArrow(lean(_blocks(sent)), "bh long, place long, uid long, s int, n byte, d byte, around binary"), "blocks")
+    uses = keep(blocks.groupBy("place", "bh").agg(F.count(F.lit(1)).alias("uses")), "block-uses")
+    opened = uses.groupBy("place").agg(F.count(F.lit(1)).alias("blocks"), F.min("uses").alias("least")).where("blocks > 1 and least = 1").select("place")
     end = (F.col("s") + F.col("n") + LENGTH).alias("e")
-    full = parse.join(dictionary.where("uses > 1").select("h"), "h", "left_semi").select("uid", "s", end)
-    most = blocks.join(uses.where("uses > 1").select("bh"), "bh", "left_semi").select("uid", "s", end)
-    few = single.join(again, "wh", "left_semi").select("uid", "s", (F.col("s") + LENGTH).alias("e"))
+    full = parse.join(dictionary.where("uses > 1").select("h", "kl", "kr"), ["h", "kl", "kr"], "left_semi").select("uid", "s", end)
+    most = blocks.join(uses.where("uses > 1").select("place", "bh"), ["place", "bh"], "left_semi").select("uid", "s", end)
+    few = neighbours(blocks.join(opened, "place", "left_semi"))
     # Equal rows have equal spans, so after this a row's group is bounded by its own length.
     out = keep(full.unionByName(most).unionByName(few).groupBy("uid", "s").agg(F.max("e").alias("e")), "spans")
-    for df in (parse, dictionary, blocks, single):
-        drop_kept(df)
+    drop_kept(parse, dictionary, blocks, uses)
     return out
 
 
-def _blocks(sent, still=None):
-    """Blocks of windows of phrases with a shared core, or the single windows of blocks that are still open."""
+def neighbours(blocks: DataFrame) -> DataFrame:
+    """(uid, s, e) of the blocks' suffixes that have LENGTH bytes in common with a neighbour in the order of suffixes."""
+    one = blocks.select("place", "uid", "s", "d", "around", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("i"))
+    one = one.select("place", (F.col("d") - F.col("i")).cast("byte").alias("d"), F.expr(f"substring(around, {BLOCK} - d + i, {BLOCK - 1})").alias("bytes"), "uid", (F.col("s") + F.col("i")).cast("int").alias("s"))
+    one = keep(one, "suffixes")
+    order = ["place", "d", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # the last suffix so far: key, uid, start, whether it is like the one before
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.num_rows
+            place, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            text = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(n, BLOCK - 1)
+            uid, s = b.column(3).to_numpy(), b.column(4).to_numpy()
+            like = np.zeros(n + 1, bool)  # with the one before; the last is not known yet
+            like[1:n] = (place[1:] == place[:-1]) & (d[1:] == d[:-1]) & (text[1:] == text[:-1]).all(1)
+            first = (int(place[0]), int(d[0]), text[0].tobytes())
+            like[0] = held is not None and held[0] == first
+            if held is not None and (held[3] or like[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32())], ["uid", "s"])
+            hit = (like[:-1] | like[1:])[: n - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(uid[:-1][hit]), pa.array(s[:-1][hit])], ["uid", "s"])
+            held = (int(place[-1]), int(d[-1]), text[-1].tobytes()), int(uid[-1]), int(s[-1]), bool(like[n - 1])
+        if held is not None and held[3]:
+            yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32())], ["uid", "s"])
+
+    # Equal keys are in one range, so runs of the order do not cross tasks.
+    found = one.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(run), "uid long, s int")
+    return found.select("uid", "s", (F.col("s") + LENGTH).alias("e"))
+
+
+def _blocks(sent):
+    """Blocks of the suffixes of phrases with a shared core, with the bytes around what the suffixes have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, given, half = Powers(), set(), (LENGTH - SEED) // 2
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for lo, many in slices(b.column(1), ROWS, BYTES):
+                part = b.slice(lo, many)
+                out: list[list] = [[], [], [], [], [], [], []]
                 for uid, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    x = Text(_raw(t), powers)
-                    if not len(x.start):
-                        continue
-                    h, kl, kr = x.phrases()
-                    # Windows that reach the left core start half or more before the trigger; the others have the right one.
-                    for keys, first, last in ((kl, x.start, np.minimum(x.stop, x.trigger - half)), (kr, np.maximum(x.start, x.trigger - half + 1), x.stop)):
-                        for i in np.flatnonzero((keys != 0) & _has(sent.value, keys)).tolist():
-                            name = (int(h[i]), int(keys[i]))
-                            if name in given:
-                                continue
-                            given.add(name)
-                            at = np.arange(first[i], last[i] + 1)
-                            slot = (x.trigger[i] - at) // BLOCK
-                            new = np.append(True, slot[1:] != slot[:-1])
-                            begin = at[new]
-                            # What all windows of the block's offsets have in common: blocks with an equal window share it.
-                            place = x.hash(x.trigger[i] - slot[new] * BLOCK, LENGTH - BLOCK + 1) ^ _mix(slot[new].astype(np.uint64))
-                            stop = np.append(begin[1:] - 1, last[i])
-                            n = stop - begin
-                            kind = ((x.trigger[i] - begin) * 512 + n).astype(np.uint64)  # blocks are equal at the same offsets only
-                            if still is not None:
-                                here = _has(still.value, place)
-                                begin = np.concatenate([begin[:0], *[np.arange(u, v + 1) for u, v in zip(begin[here], stop[here], strict=True)]])
-                                n = np.zeros(len(begin), np.int64)
-                                place = kind = n.astype(np.uint64)
-                            if len(begin):
-                                out[0].append(x.hash(begin, n + LENGTH) ^ _mix(kind))
-                                out[1].append(place)
-                                out[2].append(np.full(len(begin), uid, np.int64))
-                                out[3].append(begin.astype(np.int32))
-                                out[4].append(n.astype(np.int16))
+                    raw = _raw(t)
+                    for base, x in _parts(raw, powers):
+                        if len(x.start):
+                            _open(x, sent.value, given, half, uid, base, raw[base : base + x.n], out)
+                if len(given) > GIVEN:  # a phrase that is given again is one that is there twice
+                    given.clear()
                 if out[0]:
-                    bh, place, uids, s, n = (np.concatenate(c) for c in out)
-                    yield pa.RecordBatch.from_arrays([_signed(bh), _signed(place), pa.array(uids), pa.array(s), pa.array(n)], ["bh", "place", "uid", "s", "n"])
+                    bh, place, uids, s, n, d = (np.concatenate(c) for c in out[:6])
+                    around = np.concatenate(out[6])
+                    offsets = np.arange(0, around.size + 1, around.shape[1], dtype=np.int32)
+                    around = pa.Array.from_buffers(pa.binary(), len(around), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(around.tobytes())])
+                    yield pa.RecordBatch.from_arrays([_signed(bh), _signed(place), pa.array(uids), pa.array(s), pa.array(n), pa.array(d), around], ["bh", "place", "uid", "s", "n", "d", "around"])
 
     return run
 
 
+def _open(x: Text, shared: np.ndarray, given: set, half: int, uid: int, base: int, raw: bytes, out: list[list]) -> None:
+    h, kl, kr = x.phrases()
+    firsts, lasts, triggers = [], [], []
+    # Windows that reach the left core start half or more before the trigger; the others have the right one.
+    for keys, first, last in ((kl, x.start, np.minimum(x.stop, x.trigger - half)), (kr, np.maximum(x.start, x.trigger - half + 1), x.stop)):
+        for i in np.flatnonzero((keys != 0) & _has(shared, keys)).tolist():
+            name = int(h[i]) ^ int(keys[i])
+            if name not in given:
+                given.add(name)
+                firsts.append(first[i])
+                lasts.append(last[i])
+                triggers.append(x.trigger[i])
+    if not firsts:
+        return
+    first, last, trigger = np.array(firsts), np.array(lasts), np.array(triggers)
+    # A block has the windows whose offsets from the trigger share all but their low bits.
+    top, low = (trigger - first) // BLOCK, (trigger - last) // BLOCK
+    many = top - low + 1
+    of = np.repeat(np.arange(len(first)), many)
+    slot = top[of] - (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+    common = trigger[of] - slot * BLOCK  # where what all windows of a block have in common begins
+    begin = np.maximum(first[of], common - BLOCK + 1)
+    n = np.minimum(last[of], common) - begin
+    out[0].append(x.hash(begin, n + LENGTH) ^ _mix(((common - begin) * 512 + n).astype(np.uint64)))  # equal at the same offsets only
+    out[1].append(x.hash(common, LENGTH - BLOCK + 1) ^ _mix(slot.astype(np.uint64) + np.uint64(1)))
+    out[2].append(np.full(len(of), uid, np.int64))
+    out[3].append((begin + base).astype(np.int32))
+    out[4].append(n.astype(np.int8))
+    out[5].append((common - begin).astype(np.int8))
+    # The bytes around it; those beyond the text belong to no window.
+    padded = np.zeros(x.n + 2 * BLOCK, np.uint8)
+    padded[BLOCK : BLOCK + x.n] = np.frombuffer(raw, np.uint8)
+    side = np.arange(BLOCK - 1)
+    left = padded[(common + 1)[:, None] + side]
+    right = padded[(common + LENGTH - BLOCK + 1 + BLOCK)[:, None] + side]
+    out[6].append(np.concatenate([left, right], 1))
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans that touch or overlap become one."""
     out: list[list[int]] = []
@@ -291,22 +355,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, many in slices(b.column(2), ROWS, BYTES):
+                part = b.slice(lo, many)
                 raws = [_raw(t) for t in part.column(2)]
                 yield out_batch(part.column(1), raws, [[] for _ in raws])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, many in slices(b.column(1), ROWS, BYTES):
+                part = b.slice(lo, many)
                 cuts = [merge([(r["s"], r["e"]) for r in x or []]) for x in part.column(2).to_pylist()]
                 yield out_batch(part.column(0), [_raw(t) for t in part.column(1)], cuts)
 
     shape = f"uid long, k {kind}, t string"
-    clean = rows.mapInArrow(split(False), shape).mapInArrow(whole, schema)
+    clean = rows.mapInArrow(lean(split(False)), shape).mapInArrow(lean(whole), schema)
     own = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
-    hit = rows.mapInArrow(split(True), shape).join(own, "uid", "left").select("k", "t", "cuts").mapInArrow(cut, schema)
+    hit = rows.mapInArrow(lean(split(True)), shape).join(own, "uid", "left").select("k", "t", "cuts").mapInArrow(lean(cut), schema)
     both = clean.unionByName(hit)
     return both.select(*[F.col(f"k.`{c}`").alias(c) for c in rest], *[F.col(a).alias(b) for a, b in zip(("n_bytes", "spans", "kept"), names, strict=True)])
 
@@ -324,7 +388,7 @@ def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rest = [c for c in docs.columns if c != text]
     packed = out.select(F.struct(*rest).alias("k"), F.col(whole).alias("kept"))
     kind = packed.schema["k"].dataType.simpleString()
-    flat = packed.mapInArrow(run, f"k {kind}, t string").select(*[F.col(f"k.`{c}`").alias(c) for c in rest], F.col("t").alias(text))
+    flat = packed.mapInArrow(lean(run), f"k {kind}, t string").select(*[F.col(f"k.`{c}`").alias(c) for c in rest], F.col("t").alias(text))
     return flat.select(*docs.columns)
 
 
