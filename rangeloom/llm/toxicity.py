@@ -11,7 +11,9 @@ lambda solves E[exp(lambda score)] = 1 over clean tokens and K is the rate seen.
 segment, if none is). Evidence becomes a score in 0 to 1 by a logistic curve that crosses CUT where the F1 of documents
 held out within the sample is largest.
 
-The model is bounded by the sample, whatever the corpus; scoring is one pass without a shuffle.
+The model is bounded by the sample, whatever the corpus: a 64-bit hash and a score for each word and prefix. Counts and
+histograms are summed by Spark; the driver gets the model, the histogram's few hundred steps, and a number for each
+sampled row. Scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts, and those without a word, have no segment and the evidence of n = 1; a label that
 is null is no label; if labels disagree on an id, toxic wins; without labels of both classes every score is 0. Repeated
@@ -31,23 +33,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, spare, table
+from .common import Remembered, drop_kept, keep, lean, need, slices, spare, table
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each class that the fit reads at most.
 MAX_PER_CLASS = 10_000
 PREFIX, PRIOR, PREFIX_PRIOR, DRIFT, FLOOR, E_VALUE, CUT = 4, 3.0, 20.0, 2.0, -3.0, 0.05, 0.7
-#: A word has an entry of its own if it or its prefix scores above NEAR and the two differ by more than SAME.
-NEAR, SAME = -0.5, 0.1
-MAX_CACHED = 500_000
+#: Bytes of words whose scores a task remembers, and counts that it sums before it hands them on.
+KNOWN_BYTES, FLUSH = 32 << 20, 200_000
+#: Rows, and bytes of text, that a task scores at a time.
+ROWS, BYTES = 1000, 4 << 20
 #: Folds within the sample; each is scored by a model of the others, to place the cut.
 FOLDS = 4
 
 
+def _empty() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+
+
 @dataclass
 class Model:
-    words: dict[str, float] = field(default_factory=dict)
-    prefixes: dict[str, float] = field(default_factory=dict)
+    """words, prefixes: sorted hashes and their scores."""
+
+    words: tuple[np.ndarray, np.ndarray] = field(default_factory=_empty)
+    prefixes: tuple[np.ndarray, np.ndarray] = field(default_factory=_empty)
     default: float = FLOOR
     lam: float = 1.0
     k: float = 0.1
@@ -56,19 +65,25 @@ class Model:
     fitted: bool = False
 
 
-class _Scores(dict):
-    """Token scores, looked up once for each word and forgotten when there are too many."""
+def hash_of(word: str) -> int:
+    """What Spark's xxhash64 makes of the word."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
 
-    def __init__(self, model: Model):
-        super().__init__(model.words)
-        self.model = model
 
-    def __missing__(self, word: str) -> float:
-        if len(self) > MAX_CACHED + len(self.model.words):
-            self.clear()
-            self.update(self.model.words)
-        v = self[word] = self.model.prefixes.get(word[:PREFIX], self.model.default)
-        return v
+def scores(model: Model) -> Remembered:
+    """A score for each word: its own, else its prefix's, else the default."""
+
+    def make(word: str) -> float:
+        for (keys, values), x in ((model.words, word), (model.prefixes, word[:PREFIX])):
+            h = np.uint64(hash_of(x))
+            at = int(keys.searchsorted(h))
+            if at < len(keys) and keys[at] == h:
+                return float(values[at])
+        return model.default
+
+    return Remembered(KNOWN_BYTES, make)
 
 
 def segments(values: np.ndarray) -> list[tuple[float, int, int]]:
@@ -121,27 +136,34 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y, half in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             for w, n in Counter(_tokens(text.as_py())).items():
                 seen[w, y, half] += n
-        if len(seen) > MAX_CACHED:
+        if len(seen) > FLUSH:
             yield out()
             seen.clear()
     if seen:
         yield out()
 
 
+def _pairs(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (h, v) as sorted hashes and scores."""
+    got = rows.toArrow()
+    h, v = got["h"].to_numpy().view(np.uint64), got["v"].to_numpy().astype(np.float32)
+    order = np.argsort(h)
+    return h[order], v[order]
+
+
 def _log_odds(counts: DataFrame) -> Model:
-    """Word and prefix scores from (word, toxic, n); only scores above the floor leave Spark."""
+    """Word and prefix scores from (word, toxic, n); words are in the sample, so the model is bounded by it."""
     c = counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("y0"))
     n1, n0 = c.agg(F.sum("y1"), F.sum("y0")).first()
     if not n1 or not n0:
         return Model()
     base = n1 / (n1 + n0)
-    logit = lambda r: F.log(r / (1 - r)) - math.log(base / (1 - base)) - DRIFT
+    logit = lambda r: F.greatest(F.lit(FLOOR), F.log(r / (1 - r)) - math.log(base / (1 - base)) - DRIFT)
     p = c.groupBy(F.substring("word", 1, PREFIX).alias("prefix")).agg(((F.sum("y1") + PREFIX_PRIOR * base) / (F.sum("y1") + F.sum("y0") + PREFIX_PRIOR)).alias("share"))
     w = c.withColumn("prefix", F.substring("word", 1, PREFIX)).join(p, "prefix")
-    w = w.withColumn("v", F.greatest(F.lit(FLOOR), logit((F.col("y1") + PRIOR * F.col("share")) / (F.col("y1") + F.col("y0") + PRIOR)))).withColumn("pv", F.greatest(F.lit(FLOOR), logit(F.col("share"))))
-    words = w.where((F.greatest("v", "pv") > NEAR) & (F.abs(F.col("v") - F.col("pv")) > SAME)).select("word", "v").toPandas()
-    prefixes = p.withColumn("v", F.greatest(F.lit(FLOOR), logit(F.col("share")))).where(F.col("v") > FLOOR).select("prefix", "v").toPandas()
-    return Model(dict(zip(words["word"], words["v"], strict=True)), dict(zip(prefixes["prefix"], prefixes["v"], strict=True)), max(FLOOR, -DRIFT))
+    words = _pairs(w.select(F.xxhash64("word").alias("h"), logit((F.col("y1") + PRIOR * F.col("share")) / (F.col("y1") + F.col("y0") + PRIOR)).alias("v")))
+    prefixes = _pairs(p.select(F.xxhash64("prefix").alias("h"), logit(F.col("share")).alias("v")))
+    return Model(words, prefixes, max(FLOOR, -DRIFT))
 
 
 def _sample(labels: DataFrame, train, max_per_class: int) -> DataFrame:
@@ -157,40 +179,37 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_per_class: int = MAX_PER_
     need(docs, key, text)
     # Two columns of integers for 2 * max_per_class rows at most: a proven bound.
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(_sample(labels, train, max_per_class)), F.col("k") == F.col("label_id")).select("t", "toxic", "half")
-    counts = rows.mapInArrow(_word_counts, "word string, toxic int, half int, n long").groupBy("word", "toxic", "half").agg(F.sum("n").alias("n")).cache()
-    try:
-        halves = [_log_odds(counts.where(F.col("half") != h)) for h in range(FOLDS)]
-        model = _log_odds(counts)
-    finally:
-        counts.unpersist()
-    if not model.words and not model.prefixes:
+    counts = rows.mapInArrow(lean(_word_counts), "word string, toxic int, half int, n long").groupBy("word", "toxic", "half").agg(F.sum("n").alias("n"))
+    counts = keep(counts, "toxicity-words")
+    halves = [_log_odds(counts.where(F.col("half") != h)) for h in range(FOLDS)]
+    model = _log_odds(counts)
+    drop_kept(counts)
+    if not len(model.words[0]):
         return model
 
     sent = docs.sparkSession.sparkContext.broadcast(halves)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, hist = [_Scores(m) for m in sent.value], Counter()
-        kinds = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("steps", pa.list_(pa.float64())), ("hits", pa.list_(pa.int64()))])
+        tables, hist = [scores(m) for m in sent.value], Counter()
+        kinds = pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64())), ("step", pa.float64()), ("hits", pa.int64())])
         for b in batches:
-            out: dict[str, list] = {"toxic": [], "n": [], "s": []}
-            for t, y, half in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v = np.array([tables[half][w] for w in _tokens(t.as_py())])
-                if not y:
-                    hist.update(np.round(v, 1).tolist())
-                out["toxic"].append(y)
-                out["n"].append(len(v))
-                out["s"].append([s for s, _, _ in segments(v)])
-            yield pa.RecordBatch.from_pydict(out | {"steps": [None] * len(out["n"]), "hits": [None] * len(out["n"])}, kinds)
-        yield pa.RecordBatch.from_pydict({"toxic": [-1], "n": [0], "s": [[]], "steps": [[float(x) for x in hist]], "hits": [[int(x) for x in hist.values()]]}, kinds)
-
-    seen = rows.mapInArrow(scan, "toxic int, n long, s array<double>, steps array<double>, hits array<long>").collect()  # a row for each sampled label, and one of counts for each task
-    sent.destroy()
-    clean = [r for r in seen if not r["toxic"]]
-    hist: Counter = Counter()
-    for r in (r for r in seen if r["toxic"] < 0):
-        for x, n in zip(r["steps"], r["hits"], strict=True):
-            hist[x] += n
-    x, p = np.array(list(hist)), np.array(list(hist.values()), float)
+            for lo, many in slices(b.column(0), ROWS, BYTES):
+                part = b.slice(lo, many)
+                out: dict[str, list] = {"toxic": part.column(1).to_pylist(), "n": [], "s": [], "step": [None] * many, "hits": [None] * many}
+                for t, y, half in zip(part.column(0), out["toxic"], part.column(2).to_pylist(), strict=True):
+                    words = _tokens(t.as_py())
+                    v = np.fromiter(tables[half].of(words), float, len(words))
+                    if not y:
+                        hist.update(np.round(v, 1).tolist())
+                    out["n"].append(len(v))
+                    out["s"].append([s for s, _, _ in segments(v)])
+                yield pa.RecordBatch.from_pydict(out, kinds)
+        none = [None] * len(hist)
+        yield pa.RecordBatch.from_pydict({"toxic": none, "n": none, "s": none, "step": list(hist), "hits": list(hist.values())}, kinds)
+
+    seen = keep(rows.mapInArrow(lean(scan), "toxic int, n long, s array<double>, step double, hits long"), "toxicity-segments")
+    hist = seen.where("step is not null").groupBy("step").agg(F.sum("hits").alias("hits")).collect()  # steps of a tenth, from FLOOR to the largest log-odds
+    x, p = np.array([r["step"] for r in hist]), np.array([r["hits"] for r in hist], float)
     if len(x) and (x > 0).any():
         p /= p.sum()
         low, high = 1e-3, 20.0
@@ -199,9 +218,19 @@ def fit(docs: DataFrame, labels: DataFrame, train, max_per_class: int = MAX_PER_
             low, high = (mid, high) if (p * np.exp(mid * x)).sum() < 1 else (low, mid)
         model.lam = max(low, 0.05)
     floor = 1.0 / model.lam
-    model.k = max(1e-6, sum(s >= floor for r in clean for s in r["s"]) / max(1e-9, sum(r["n"] for r in clean) * math.exp(-model.lam * floor)))
-    seen = [r for r in seen if r["toxic"] >= 0]
-    z = sorted(((evidence(model, r["s"], r["n"]), r["toxic"]) for r in seen), reverse=True)
+    clean = seen.where("toxic = 0").agg(F.sum(F.size(F.filter("s", lambda x: x >= floor))), F.sum("n")).first()
+    model.k = max(1e-6, (clean[0] or 0) / max(1e-9, (clean[1] or 0) * math.exp(-model.lam * floor)))
+    sample = model.lam, model.k
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(lam=sample[0], k=sample[1])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([evidence(own, s.as_py(), n) for s, n in zip(b.column(2), b.column(1).to_pylist(), strict=True)], pa.float64()), b.column(0)], ["z", "toxic"])
+
+    z = [(r["z"], r["toxic"]) for r in seen.where("toxic is not null").select("toxic", "n", "s").mapInArrow(lean(weigh), "z double, toxic int").collect()]  # two numbers for each sampled row
+    z.sort(reverse=True)
+    sent.destroy()
+    drop_kept(seen)
     total, caught, best = sum(y for _, y in z), 0, (-1.0, 0.0)
     for i, (v, y) in enumerate(z):
         caught += y
@@ -224,26 +253,28 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        table_ = _Scores(model)
+        table_ = scores(model)
         for b in batches:
-            score, ev, spans = [], [], []
-            for t in b.column(at):
-                s = (t.as_py() or "").lower()
-                words = WORD.findall(s)
-                found = segments(np.fromiter(map(table_.__getitem__, words), float, len(words)))
-                z = evidence(model, [x for x, _, _ in found], len(words))
-                least = (math.log(max(model.k, 1e-9) * max(len(words), 1)) - math.log(E_VALUE)) / model.lam
-                found = [f for f in found if f[0] > least]
-                if found:
-                    places = [(m.start(), m.end()) for m in WORD.finditer(s)]
-                    found = [(places[i][0], places[j - 1][1], x) for x, i, j in found]
-                score.append(squash(model, z))
-                ev.append(z)
-                spans.append([{"start": i, "end": j, "score": x} for i, j, x in found])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array(ev, pa.float64()), pa.array(spans, passage)], [*b.schema.names, *names])
+            for lo, many in slices(b.column(at), ROWS, BYTES):
+                part = b.slice(lo, many)
+                score, ev, spans = [], [], []
+                for t in part.column(at):
+                    s = (t.as_py() or "").lower()
+                    words = WORD.findall(s)
+                    found = segments(np.fromiter(table_.of(words), float, len(words)))
+                    z = evidence(model, [x for x, _, _ in found], len(words))
+                    least = (math.log(max(model.k, 1e-9) * max(len(words), 1)) - math.log(E_VALUE)) / model.lam
+                    found = [f for f in found if f[0] > least]
+                    if found:
+                        places = [(m.start(), m.end()) for m in WORD.finditer(s)]
+                        found = [(places[i][0], places[j - 1][1], x) for x, i, j in found]
+                    score.append(squash(model, z))
+                    ev.append(z)
+                    spans.append([{"start": i, "end": j, "score": x} for i, j, x in found])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array(ev, pa.float64()), pa.array(spans, passage)], [*b.schema.names, *names])
 
     fields = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` double, `{names[2]}` array<struct<start:long,end:long,score:double>>")
+    return docs.mapInArrow(lean(run), f"{fields}, `{names[0]}` double, `{names[1]}` double, `{names[2]}` array<struct<start:long,end:long,score:double>>")
 
 
 def held_out(doc_id, folds: int = 3, fold: int = 1):
