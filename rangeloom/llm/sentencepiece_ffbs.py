@@ -5,10 +5,11 @@ draws one path from the end, each step with the chance its paths have. Weights f
 merge ranks, smoothed by a power. Draws come from a counter-based generator keyed by seed, row key, unit and step, so a row's segmentation
 does not depend on partitions, batches or other rows.
 
-Pieces do not cross the start of a word, so the lattice splits into units: up to 8 blanks with up to 40 other
-characters (longer runs are cut there). Filtering is done once for each different unit, sampling for all
-occurrences at once. Blanks become the mark; what the vocabulary lacks, the mark itself included, becomes byte pieces,
-so decoding gives back every text exactly.
+No piece has a mark after another character, so the lattice splits into units without losing a path: blanks with the
+characters up to the next blank, however many. Units of up to SHORT characters are filtered once for each different one,
+and sampled for all occurrences at once. Longer ones, such as sentences of scripts without blanks, are filtered in
+logarithms over a rolling window that carries the last values on, and sampled alone. Blanks become the mark; what the
+vocabulary lacks, the mark itself included, becomes byte pieces, so decoding gives back every text exactly.
 
 Defined cases: null text gives null ids, empty text no ids; null keys share one stream of draws; equal rows get equal
 ids; other columns are kept, and new columns avoid their names.
@@ -16,6 +17,7 @@ ids; other columns are kept, and new columns avoid their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,18 +29,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, spare, table
+from .common import lean, need, slices, spare, table
 from .piece_table import PieceTable
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-UNIT = re.compile(MARK + "| {0,8}[^ " + MARK + "]{1,40}| {1,8}", re.S)
-LONGEST, LENGTH, SEED = 16, 48, 11
+UNIT = re.compile(MARK + "| *[^ " + MARK + "]+| +", re.S)
+#: Characters of a unit that is filtered with others, and of a part of a longer one that is looked up at a time.
+SHORT, PART, SEED = 48, 1 << 15, 11
 #: Power of the weights: 1 samples by the weights themselves, 0 all paths alike.
 SMOOTHING = 0.5
 UNKNOWN_WEIGHT = 1e-5
-#: Units that a worker remembers at most, and characters that it samples at a time.
-CACHED, CHUNK = 200_000, 2_000_000
+#: Units, and edges of their lattices, that a worker remembers at most; rows and bytes that it samples, and ids that it decodes, at a time.
+CACHED, EDGES, ROWS, BYTES, DECODED = 200_000, 2_500_000, 2000, 2 << 20, 1 << 20
 
 
 class Vocabulary:
@@ -60,9 +63,11 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.text[i] = p.replace(MARK, " ").encode()
                 ranks[i] = -sp.get_score(i)
-                if len(p) <= LONGEST:
-                    self.ids[p] = i
-        self.table = PieceTable(self.ids, LONGEST)
+                if MARK in p.lstrip(MARK):
+                    raise ValueError(f"piece {p!r} has a mark after another character; units would cut it")
+                self.ids[p] = i
+        self.longest = max(map(len, self.ids))
+        self.table = PieceTable(self.ids, self.longest)
         weight = 1 / (ranks + 100.0)
         self.blob = None
         self.weight = np.append(np.append(weight / weight.sum(), UNKNOWN_WEIGHT) ** smoothing, 0.0)  # then: a character that is no piece; no edge
@@ -100,7 +105,7 @@ class Sampler:
 
     def learn(self, units: set[str]) -> None:
         fresh = [u for u in units if u not in self.known]
-        if len(self.known) + len(fresh) > CACHED and self.known:
+        if self.known and (len(self.known) + len(fresh) > CACHED or sum(len(x[0]) for x in self.parts) > EDGES):
             self._clear()
             fresh = list(units)
         fresh.sort(key=len)
@@ -117,7 +122,7 @@ class Sampler:
         chars[np.arange(length)[None, :] >= size[:, None]] = -1
         chars[chars == ord(" ")] = ord(MARK)
         chars[[i for i, u in enumerate(units) if u == MARK], 0] = -2  # the mark as text is no piece
-        most = min(LONGEST, length)
+        most = min(voc.longest, length)
         ids = np.full((len(units), length + 1, most), voc.size + 1, np.int32)
         for k, w, e, piece in voc.table.find(chars):
             ids[w, e + 1, k - 1] = piece
@@ -178,6 +183,54 @@ class Sampler:
         return out, count
 
 
+    def sample_long(self, unit: str, stream: int) -> list[int]:
+        """Ids of one unit of any length; its lattice is never held as a whole, only a logarithm for each place."""
+        voc, n = self.voc, len(unit)
+        mark = unit == MARK  # the mark as text is no piece
+        weight = np.log(voc.weight[:-1])
+
+        def edges(lo: int, hi: int) -> list[list[tuple[int, float, int]]]:
+            """(length, log weight, piece) of the edges that end at each place from lo + 1 to hi."""
+            begin = max(0, lo + 1 - voc.longest)
+            code = np.frombuffer(unit[begin:hi].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            chars = np.where(code == ord(" "), ord(MARK), code)
+            out: list[list[tuple[int, float, int]]] = [[] for _ in range(hi - lo)]
+            if not mark:
+                for k, _, e, piece in voc.table.find(chars[None, :]):
+                    at = e + 1 + begin - lo
+                    for a, p, w in zip(at.tolist(), piece.tolist(), weight[piece].tolist(), strict=True):
+                        if a >= 1:
+                            out[a - 1].append((k, w, p))
+            for a, own in enumerate(out):
+                if not own or own[0][0] != 1:
+                    own.insert(0, (1, float(weight[voc.size]), voc.size + int(code[a + lo - begin])))
+            return out
+
+        alpha = [0.0] * (n + 1)
+        for lo in range(0, n, PART):
+            for e, own in enumerate(edges(lo, min(n, lo + PART)), lo + 1):
+                v = [alpha[e - k] + w for k, w, _ in own]
+                top = max(v)
+                alpha[e] = top + math.log(sum(math.exp(x - top) for x in v))
+        out, at, lo, step, own = [], n, n, 0, []
+        while at:
+            if at <= lo:
+                lo = (at - 1) // PART * PART
+                own = edges(lo, at)
+            u = float(_mix(np.array([(stream + 0x9E3779B97F4A7C15 * (step + 1)) % 2**64], np.uint64))[0] >> np.uint64(12)) * 2.0**-52
+            choice = own[at - lo - 1]
+            for k, w, piece in choice:
+                u -= math.exp(alpha[at - k] + w - alpha[at])
+                if u < 0:
+                    break
+            out.append(piece)
+            at, step = at - k, step + 1
+        ids: list[int] = []
+        for piece in reversed(out):
+            ids += [piece] if piece < voc.size else [voc.byte[x] for x in chr(piece - voc.size).encode("utf-8", "replace")]
+        return ids
+
+
 def _row_stream(keys: list, seed: int) -> np.ndarray:
     import xxhash
 
@@ -187,15 +240,33 @@ def _row_stream(keys: list, seed: int) -> np.ndarray:
 def segment(texts: list[str], keys: list, sampler: Sampler, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and how many each has."""
     units = [UNIT.findall(t) for t in texts]
-    sampler.learn(set().union(*units))
     n = np.array([len(us) for us in units], np.int64)
     if not n.sum():
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    known = sampler.known
-    ends = np.fromiter(map(known.__getitem__, chain.from_iterable(units)), np.int64, int(n.sum()))
-    ordinal = np.arange(len(ends)) - np.repeat(np.cumsum(n) - n, n)
+    every = list(chain.from_iterable(units))
+    ordinal = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
     stream = _mix(np.repeat(_row_stream(keys, seed), n) + ordinal.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    ids, count = sampler.sample(ends, stream)
+    size = np.fromiter(map(len, every), np.int64, len(every))
+    long = np.flatnonzero(size > SHORT)
+    short = [u for u in every if len(u) <= SHORT] if len(long) else every
+    sampler.learn(set(short))
+    ends = np.fromiter(map(sampler.known.__getitem__, short), np.int64, len(short))
+    if not len(long):
+        ids, count = sampler.sample(ends, stream)
+    else:
+        rest = np.flatnonzero(size <= SHORT)
+        own, few = sampler.sample(ends, stream[rest]) if len(rest) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        count = np.zeros(len(every), np.int64)
+        count[rest] = few
+        apart = [sampler.sample_long(every[i], int(stream[i])) for i in long.tolist()]
+        count[long] = [len(x) for x in apart]
+        stop = np.cumsum(count)
+        ids = np.zeros(int(stop[-1]), np.int64)
+        is_long = np.zeros(len(every), bool)
+        is_long[long] = True
+        ids[~np.repeat(is_long, count)] = own
+        for i, x in zip(long.tolist(), apart, strict=True):
+            ids[stop[i] - len(x) : stop[i]] = x
     return ids, np.add.reduceat(np.append(count, 0), np.minimum(np.cumsum(n) - n, len(count))) * (n > 0)
 
 
@@ -208,24 +279,18 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(vocabulary(name))
         for b in batches:
-            lo = 0
-            while lo < b.num_rows:
-                hi, size, texts = lo, 0, []
-                while hi < b.num_rows and (size < CHUNK or hi == lo):
-                    texts.append(b.column(t)[hi].as_py())
-                    size += len(texts[-1] or "")
-                    hi += 1
-                part = b.slice(lo, hi - lo)
+            for lo, many in slices(b.column(t), ROWS, BYTES):
+                part = b.slice(lo, many)
+                texts = part.column(t).to_pylist()
                 ids, count = segment([x or "" for x in texts], part.column(k).to_pylist(), sampler, seed)
                 offsets = np.concatenate(([0], np.cumsum(count)))
                 none = [x is None for x in texts]
                 offsets = pa.array(offsets, pa.int32(), mask=np.append(none, False)) if any(none) else pa.array(offsets, pa.int32())
                 values = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, values], [*b.schema.names, into])
-                lo = hi
 
     fields = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, `{into}` array<int>")
+    return docs.mapInArrow(lean(run), f"{fields}, `{into}` array<int>")
 
 
 def decode_ids(ids: list[int], voc: Vocabulary) -> str:
@@ -258,12 +323,16 @@ def decode(encoded: DataFrame, ids: str = "ids", name: str = VOCABULARY, into: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(name)
         for b in batches:
-            for lo in range(0, b.num_rows, 250):
-                part = b.slice(lo, 250)
+            ends = np.cumsum(np.array(pa.compute.fill_null(pa.compute.list_value_length(b.column(at)), 0), np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                most = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + DECODED, "right"))
+                part = b.slice(lo, max(1, min(most - lo, 250)))
+                lo += part.num_rows
                 yield pa.RecordBatch.from_arrays([*part.columns, decode_lists(part.column(at), voc)], [*b.schema.names, into])
 
     fields = ", ".join(f"`{c}` {kind}" for c, kind in encoded.dtypes)
-    return encoded.mapInArrow(run, f"{fields}, `{into}` string")
+    return encoded.mapInArrow(lean(run), f"{fields}, `{into}` string")
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
