@@ -8,8 +8,9 @@ vectors, in double precision, rank them.
 
 Equal vectors go through the tables once: of each such group only the ``k + 1`` smallest ids can be among a query's k
 nearest, and the limit is applied before rows move. Buckets are grouped by their first projections; a group with
-more vectors than CHUNK is dealt over chunks, and a query visits each. A query with fewer than k found is compared with
-all vectors, in the same chunks.
+more vectors than CHUNK is dealt over chunks, and a query visits each; queries are dealt over portions of CHUNK too, so a task
+holds CHUNK vectors and CHUNK queries or so, whatever the number of either. A query with fewer than k found is compared
+with all vectors, in the same chunks.
 
 Defined cases: vectors that are null, empty, zero, or with a null or non-finite part take no part, nor do vectors of
 another length than the first one in id order; ties go to the smaller id; a repeated id counts with its vectors as
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, need, table
+from .common import keep, lean, need, table
 
 TABLES, DIMS, WIDTH, BINS, RADIUS, SUCCESS, SEED = 4, 6, 1.1, 5, 1.0, 0.8, 7
 #: Projections whose bins name a group of buckets, and vectors of a chunk.
@@ -133,15 +134,18 @@ def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("t", pa.int32()), ("g", pa.int32()), ("codes", pa.list_(pa.int32())), ("q", pa.int64()), ("v", pa.list_(pa.float64()))]))
 
-    index = reps.mapInArrow(hashed, "t int, g int, code int, id long, v array<double>")
+    index = reps.mapInArrow(lean(hashed), "t int, g int, code int, id long, v array<double>")
     # A row for each table and group of buckets: tables * bins ** LEAD at most.
     sizes = index.groupBy("t", "g").count().select("t", "g", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     sizes = keep(sizes, "nearest-sizes")
+    portions = max(1, math.ceil(queries.count() / CHUNK))
     index = index.join(F.broadcast(sizes), ["t", "g"]).select("t", "g", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "code", "id", "v")
-    probes = queries.select("q", "v").mapInArrow(probed, "t int, g int, codes array<int>, q long, v array<double>")
+    index = index.withColumn("portion", F.explode(F.sequence(F.lit(0), F.lit(portions - 1))))
+    probes = queries.select("q", "v").mapInArrow(lean(probed), "t int, g int, codes array<int>, q long, v array<double>")
     there = sizes.select(F.col("t").alias("p_t"), F.col("g").alias("p_g"), F.col("chunks").alias("p_chunks"))
     probes = probes.join(F.broadcast(there), (F.col("t") == F.col("p_t")) & (F.col("g") == F.col("p_g")))
     probes = probes.select("t", "g", F.explode(F.sequence(F.lit(0), F.col("p_chunks") - 1)).alias("chunk"), "codes", "q", "v")
+    probes = probes.withColumn("portion", F.pmod(F.xxhash64("q"), F.lit(portions)).cast("int"))
 
     def visit(key_, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"q": [], "id": [], "score": []}
@@ -161,7 +165,7 @@ def search(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
                     out["score"] += s[best].tolist()
         return pa.table({"q": pa.array(out["q"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    by = ["t", "g", "chunk"]
+    by = ["t", "g", "chunk", "portion"]
     found = index.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(visit, "q long, id long, score double")
     found = keep(found.groupBy("q", "id").agg(F.max("score").alias("score")), "nearest-found")
     few = queries.join(found.groupBy("q").count().where(F.col("count") > k), "q", "left_anti")
@@ -185,8 +189,9 @@ def _split(codes: np.ndarray, low: int) -> tuple[np.ndarray, list[np.ndarray]]:
 def _all(reps: DataFrame, queries: DataFrame, head: int, k: int) -> DataFrame:
     """The k + 1 best of all vectors for the given queries, chunk by chunk."""
     n = max(1, math.ceil(reps.count() / CHUNK))
-    chunked = reps.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n)))
-    asked = queries.select("q", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("chunk"))
+    portions = max(1, math.ceil(queries.count() / CHUNK))
+    chunked = reps.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n))).withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(portions - 1).cast("long"))))
+    asked = queries.select("q", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("chunk"), F.pmod(F.xxhash64("q"), F.lit(portions)).alias("portion"))
 
     def visit(key_, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"q": [], "id": [], "score": []}
@@ -201,7 +206,7 @@ def _all(reps: DataFrame, queries: DataFrame, head: int, k: int) -> DataFrame:
                 out["score"] += s[best].tolist()
         return pa.table({"q": pa.array(out["q"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    return chunked.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(visit, "q long, id long, score double")
+    return chunked.groupBy("chunk", "portion").cogroup(asked.groupBy("chunk", "portion")).applyInArrow(visit, "q long, id long, score double")
 
 
 def op8_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need, table
+from .common import keep, lean, need, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths that share their upper bits are one bucket of the two-level suffix sum.
@@ -75,7 +75,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "docs"])
 
-    part = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "n_tokens long, docs long")
+    part = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(lean(count), "n_tokens long, docs long")
     return part.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
 
@@ -130,4 +130,5 @@ def quantiles(sums: DataFrame, fractions: list[float]) -> DataFrame:
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    # Written, as the sums read it more than once; it has a row for each length.
+    return suffix_sums(keep(length_histogram(table(spark, sf_dir, "documents")), "lengths"))

@@ -8,6 +8,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,7 +185,7 @@ def brute_forward(word, p, voc):
     s = language_id.MARK + word
     alpha = [1.0] + [0.0] * len(s)
     for e in range(1, len(s) + 1):
-        for k in range(1, min(e, language_id.LONGEST) + 1):
+        for k in range(1, min(e, max(map(len, voc))) + 1):
             n = voc.get(s[e - k : e], len(voc) if k == 1 else None)
             if n is not None:
                 alpha[e] += alpha[e - k] * p[n, 0]
@@ -204,6 +205,32 @@ def test_forward_sums_all_segmentations():
     assert sum(into[v, 0] * len(x) for x, v in voc.items()) + into[len(voc), 0] == pytest.approx(sum(len(w) + 1 for w in words))
 
 
+def test_long_words_sum_all_segmentations():
+    """Beyond SHORT letters, too: the rolling sums are those of the whole lattice, with pieces of every length."""
+    voc = language_id.pieces()
+    rng = random.Random(5)
+    p = np.random.default_rng(2).random((len(voc) + 2, 2)) / 10
+    p[-1] = 0
+    longest = max(voc, key=len)
+    words = [longest.removeprefix("▁") * 8, "".join(rng.choices("abcdeé漢", k=120)), "international" * 5]
+    assert len(longest) == language_id.piece_table().longest > 12 and all(len(w) > language_id.SHORT for w in words)
+    for w in words:
+        ids, n = language_id.lattice([w], voc)
+        want = language_id.forward(ids, p)[0, n[0]]
+        assert language_id.forward_long(w, p) == pytest.approx(np.log(want))
+        assert want[0] == pytest.approx(brute_forward(w, p, voc))
+        one, two = np.zeros(p.shape), np.zeros(p.shape)
+        language_id.expected(ids, n, p, np.array([1]), np.array([3.0]), one)
+        language_id.expected_long(w, p, 1, 3.0, two)
+        assert two == pytest.approx(one, abs=1e-9)
+    assert np.isfinite(language_id.forward_long("x" * 70_000, p)).all()
+
+
+def test_only_letters_are_words():
+    assert language_id.words_of("½ ² Ⅷ 12_3") == [] and language_id.words_of("İa b2c") != []
+    assert language_id.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and language_id.words_of("Don't été") == ["don", "t", "été"]
+
+
 def test_language_id(spark, hard, empty):
     rng = random.Random(8)
     a, b = "the of and to in that is was".split(), "der die und das ist nicht ein zu".split()
@@ -263,7 +290,7 @@ def edits(window, text):
 
 def test_decontamination_against_brute(spark, empty, hard):
     rng = random.Random(6)
-    items = [(i, prose(rng, 30)) for i in range(6)] + [(6, None), (7, "short")]
+    items = [(i, prose(rng, 30)) for i in range(6)] + [(6, None), (7, "short"), (8, "")]
     rows = []
     for i in range(40):
         t = prose(rng, 40)
@@ -284,9 +311,57 @@ def test_decontamination_against_brute(spark, empty, hard):
     assert got == want and len(want) >= 8
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
     assert decontaminate.clean(hard, bench).count() == len(HARD)
+    clash = docs.withColumns({c: F.lit(1) for c in ("hit_key", "k", "t", "item_id", "n_windows")})
+    assert {r["doc_id"] for r in decontaminate.clean(clash, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    twice = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs.union(docs), bench).collect()}
+    assert twice == got
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_are_found_whole_words(spark):
+    items = [(1, "What is 17 times 23? 391"), (2, "yes"), (3, "What is the capital of France?"), (4, "YES "), (5, "été"), (6, "  ")]
+    rows = [(1, "a b. what is  17\ntimes 23? 391, said he"), (2, "Yesterday eyes yes2"), (3, "oh yes!"), (4, "so what is the capital of france?"), (5, "l'été"), (6, "étés"), (7, None), (8, "what is 17 times 23? 3910")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 2), (3, 4), (4, 3), (5, 5)}
+
+
+def test_long_texts_and_common_grams(monkeypatch):
+    """Texts in parts and postings in portions give what one buffer gives."""
+    rng = random.Random(8)
+    items = [(i, prose(rng, 40).encode()) for i in range(4)] + [(9, (b"ab" * 60))]
+    text = prose(rng, 900) + items[0][1].decode() + " " + prose(rng, 300) + " " + items[2][1].decode() + " ab" * 5 + "ab" * 400
+    index = decontaminate.Index(items)
+
+    def found():
+        out = set()
+        for buffer, places in decontaminate.parts_of(pa.array([text, None, "x", text])):
+            for w, end, e in index.search(buffer):
+                begin, stop, row, at, _ = [x for x in places if x[0] < end][-1]
+                if end <= stop:
+                    out.add((row, w, at + end - begin, e))
+        return out
+
+    whole = found()
+    assert {w for _, w, _, _ in whole} >= {i for i, (item, _, _) in enumerate(index.windows) if item in (0, 2, 9)}
+    monkeypatch.setattr(decontaminate, "BUFFER", 1000)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    assert {(r, w) for r, w, _, _ in found()} == {(r, w) for r, w, _, _ in whole}
+
+
+def test_banded_alignment():
+    rng = random.Random(1)
+    for _ in range(300):
+        w = bytes(rng.choices(b"abc", k=rng.randrange(9, 30)))
+        v = bytearray(w)
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(len(v))
+            v[at : at + rng.randrange(2)] = bytes(rng.choices(b"abcd", k=rng.randrange(2)))
+        region = bytes(rng.choices(b"abc", k=rng.randrange(6))) + bytes(v) + bytes(rng.choices(b"abc", k=rng.randrange(6)))
+        e = edits(w.decode(), region.decode())
+        got = decontaminate.align(w, region, 8)
+        assert (got is None and e > 8) or got[0] == e
+
+
 # 3
 
 def test_sentencepiece_lossless_and_keyed(spark, clashing, empty):
@@ -325,6 +400,42 @@ def test_sampling_follows_path_weights():
         assert seen[path] / n == pytest.approx(w / total, abs=0.005)
 
 
+def test_long_units_follow_path_weights():
+    """A run beyond SHORT characters is one lattice: the paths of its first characters have the chances of the whole."""
+    voc = sentencepiece_ffbs.vocabulary()
+    s = sentencepiece_ffbs.Sampler(voc)
+    unit = "then" * 14  # 56 characters, and every path over it counts
+    assert len(unit) > sentencepiece_ffbs.SHORT and sentencepiece_ffbs.UNIT.findall("a " + unit + " b") == ["a", " " + unit, " b"]
+    alpha = [1.0]
+    for e in range(1, len(unit) + 1):
+        alpha.append(sum(alpha[e - k] * voc.weight[voc.ids[unit[e - k : e]]] for k in range(1, min(e, voc.longest) + 1) if unit[e - k : e] in voc.ids))
+    beta = [0.0] * len(unit) + [1.0]
+    for a in reversed(range(len(unit))):
+        beta[a] = sum(beta[a + k] * voc.weight[voc.ids[unit[a : a + k]]] for k in range(1, voc.longest + 1) if a + k <= len(unit) and unit[a : a + k] in voc.ids)
+    assert alpha[-1] == pytest.approx(beta[0])
+    n, seen = 3000, collections.Counter()
+    for i in range(n):
+        ids = s.sample_long(unit, int(sentencepiece_ffbs._mix(np.array([i], np.uint64))[0]))
+        assert b"".join(voc.text[x] for x in ids).decode() == unit
+        seen[ids[0]] += 1
+    for k in range(1, voc.longest + 1):
+        x = voc.ids.get(unit[:k])
+        if x is not None:
+            assert seen[x] / n == pytest.approx(voc.weight[x] * beta[k] / beta[0], abs=0.04)
+
+
+def test_blank_runs_and_scripts_without_blanks_are_whole_units():
+    voc = sentencepiece_ffbs.vocabulary()
+    s = sentencepiece_ffbs.Sampler(voc)
+    texts = [" " * 16 + "x", "漢字" * 300, "a" + " " * 70, "▁ ▁▁a"]
+    assert [len(sentencepiece_ffbs.UNIT.findall(t)) for t in texts] == [1, 1, 2, 5]
+    ids, count = sentencepiece_ffbs.segment(texts, [1, 2, 3, 4], s)
+    at = np.concatenate(([0], np.cumsum(count)))
+    assert [sentencepiece_ffbs.decode_ids(ids[at[i] : at[i + 1]].tolist(), voc) for i in range(4)] == texts
+    used = {len(voc.text[x]) for seed in range(60) for x in sentencepiece_ffbs.segment(texts[:1], [seed], s)[0].tolist()}
+    assert max(used) == 16  # the longest piece of the vocabulary is reached
+
+
 # 1
 
 def brute_groups(rows, n, t):
@@ -476,13 +587,46 @@ def test_license_scan_wrapped_notices(spark):
     assert got[30] == "bsd-3-clause"
 
 
+NOTICES = {
+    "mit-permission,mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "apache,apache-2.0,apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "gpl,gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice",
+}
+
+
+def test_license_scan_full_notices_in_any_wrap(spark):
+    """Comment marks and widths of lines don't matter; words scattered over a long line are no notice."""
+    import textwrap
+
+    rows, want = [], {}
+    for label, notice in NOTICES.items():
+        for width, mark in ((40, ""), (60, "# "), (72, " * "), (10**6, "")):
+            i = len(rows)
+            rows.append((i, "import os\n\n" + "\n".join(mark + x for x in textwrap.wrap(notice, width)) + "\n\ndef main(): pass"))
+            want[i] = label
+    rng = random.Random(3)
+    for label, notice in NOTICES.items():
+        i = len(rows)
+        rows.append((i, " ".join(prose(rng, 12) + " " + w for w in notice.split())))
+        want[i] = ""
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_license_scan_unlike_rows_of_an_id(spark):
+    rows = [(1, "Released under the MIT License"), (1, "nothing"), (None, "licensed under cc by nc 4.0"), (None, "nothing")]
+    got = sorted((repr(r["doc_id"]), r["labels"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", ""), ("1", "mit,mit-release"), ("None", ""), ("None", "cc-by,cc-by-nc-4.0,cc-by-sa-4.0")]
+
+
 def brute_windows(text, templates, threshold):
-    """Labels held by a line or by a window of as many words as the template has, over the threshold."""
+    """Labels held by a run of as many words as the template has, over the threshold."""
     split = lambda x: [w for w in re.split(license_scan.GAP, x.lower()) if w]
     a, out = split(text), set()
     for label, v in templates.items():
         t, span = set(split(v)), -(-len(split(v)) * 100 // threshold)
-        blocks = [split(x) for x in text.split("\n")] + [a[i : i + span] for i in range(len(a))]
+        blocks = [a[i : i + span] for i in range(len(a))]
         if any(100 * len(t & set(b)) >= threshold * len(t) for b in blocks):
             out.add(label)
     return out
