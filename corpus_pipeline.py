@@ -1,27 +1,36 @@
 """A corpus run through stages, each written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last
-adds the pieces of each text. Texts may be null or empty in any stage: they are kept, with no pieces.
+adds the pieces of each text: ids, n_pieces and lossless. Columns that an operator or a stage adds take another name
+where ``docs`` has one like it (a ``_`` before it), and no column of ``docs`` is ever read or lost in its place. Texts
+may be null or empty in any stage: they are kept, with no pieces. An empty table gives an empty table. n_chars, where it
+is there, follows the text that a stage cuts.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.llm import decontaminate, ngram_join, repeats, sentencepiece_ffbs, toxicity
-from rangeloom.llm.common import keep, table
+from rangeloom.llm.common import keep, scratch, spare, table
 
 #: Words of a shingle, and the similarity from which documents are near copies.
 WORDS, SIMILARITY = 5, Fraction(8, 10)
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i))
-    return toxicity.score_documents(docs, model).where(F.col("score") < toxicity.CUT).select(*docs.columns)
+    scored = toxicity.score_documents(docs, model)
+    score = scored.columns[len(docs.columns)]  # the first that the operator adds, whatever its name
+    return scored.where(F.col(f"`{score}`") < toxicity.CUT).select(*_own(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat in the corpus; a character cut in two goes whole."""
     out = repeats.kept_text(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +53,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def add_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text, and whether they decode to it."""
-    out = sentencepiece_ffbs.decode(sentencepiece_ffbs.encode(docs))
-    return out.withColumn("n_pieces", F.size("ids")).withColumn("lossless", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    encoded = sentencepiece_ffbs.encode(docs)
+    ids = encoded.columns[-1]
+    out = sentencepiece_ffbs.decode(encoded, ids)
+    decoded = F.col(f"`{out.columns[-1]}`")
+    added = [F.col(f"`{ids}`"), F.size(F.col(f"`{ids}`")).alias(spare(docs, "n_pieces")), decoded.eqNullSafe(F.col("text")).alias(spare(docs, "lossless"))]
+    return out.select(*_own(docs), *added)
 
 
 STAGES = [
@@ -60,6 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark):
+        for name, stage in STAGES:
+            with scratch(spark):  # what a stage writes on its way goes when its result is there
+                out = stage(spark, docs, sf_dir)
+                docs = keep(out, f"pipeline-{name}", None if name == STAGES[-1][0] else 1)
     return docs
