@@ -62,22 +62,27 @@ def size_text(nbytes: Column) -> Column:
 
 
 def version(text: Column) -> Column:
-    """(major, minor, patch) with zeros for what is not given; NULL if there is no number."""
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*(\d+)(?:\.(\d+))?(?:\.(\d+))?", i), F.lit("")), F.lit("0")).cast("int")
-    return F.when(text.rlike(r"^\s*\d"), F.struct(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")))
+    """Three numbers, zeros for those not given; NULL if the text does not begin with a number."""
+    numbers = F.transform(F.split(F.regexp_substr(F.trim(text), F.lit("^[0-9]+([.][0-9]+)*")), "[.]"), lambda x: x.cast("int"))
+    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0), 3)), 1, 3)
+
+
+#: What holds between a version and the one that a term names.
+HOLDS = {"<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "=": lambda x, y: x == y}
 
 
 def version_allowed(actual: Column, expression: Column) -> Column:
-    """Every comma-separated term (<, <=, >, >=, =, ==, or a bare version) holds."""
-    got = version(actual)
+    """Whether all terms of a list with commas hold; a term without a sign asks for the version itself."""
+    have = version(actual)
 
-    def holds(term: Column) -> Column:
-        op, want = F.regexp_extract(term, r"^\s*(<=|>=|==|<|>|=)?", 1), version(F.regexp_extract(term, r"^\s*(?:<=|>=|==|<|>|=)?\s*([0-9][0-9.]*)", 1))
-        ok = F.when(op.isin("", "=", "=="), got == want).when(op == "<", got < want).when(op == "<=", got <= want).when(op == ">", got > want).otherwise(got >= want)
-        return F.coalesce(ok, F.lit(False))
+    def term_holds(term: Column) -> Column:
+        given = F.trim(term)
+        out = have == version(given)
+        for sign, holds in reversed(HOLDS.items()):
+            out = F.when(given.startswith(sign), holds(have, version(F.substr(given, F.lit(len(sign) + 1))))).otherwise(out)
+        return F.coalesce(out, F.lit(False))
 
-    terms = F.filter(F.split(expression, ","), lambda t: F.trim(t) != "")
-    return F.coalesce(got.isNotNull() & F.forall(terms, holds), F.lit(False))
+    return F.coalesce(have.isNotNull() & F.forall(F.split(expression, ","), lambda t: (F.trim(t) == "") | term_holds(t)), F.lit(False))
 
 
 def nonce(i: Column) -> Column:
@@ -93,3 +98,43 @@ def canonical_query(query: Column) -> Column:
     """Parameters sorted by name and value, joined again; a parameter without = gets one."""
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     return F.array_join(F.array_sort(F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))), "&")
+
+
+# Names of headers and of query parameters whose values authorise a request.
+SECRET_HEADERS = ("authorization", "x-amz-security-token", "x-ms-copy-source-authorization", "x-goog-encryption-key", "cookie", "proxy-authorization")
+SECRET_PARAMS = ("sig", "signature", "x-amz-signature", "x-goog-signature", "access_token")
+
+
+def redact_request(text: Column) -> Column:
+    """A message without the values of such headers and parameters, wherever they stand in it."""
+    params = F.regexp_replace(text, rf"(?i)([?&](?:{'|'.join(SECRET_PARAMS)})=)[^& '\")\n]*", "$1REDACTED")
+    return F.regexp_replace(params, rf"(?i)((?:{'|'.join(SECRET_HEADERS)}):)[^\n]*", "$1 REDACTED")
+
+
+def redact_values(text: Column, values: list[str]) -> Column:
+    """A message without the given secrets, those of 8 characters or more; for values known from the environment."""
+    out = redact_request(text)
+    for v in sorted({v for v in values if v and len(v) >= 8}, key=len, reverse=True):
+        out = F.replace(out, F.lit(v), F.lit("REDACTED"))
+    return out
+
+
+def failure_text(message: Column) -> Column:
+    """What a record keeps of an error: without credentials, 400 characters."""
+    return F.substring(redact(message), 1, 400)
+
+
+def stable_bytes(version_: str, seed: int, label: Column, count: Column) -> Column:
+    """``count`` bytes of a hash stream over a label; the same on every platform."""
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(count / 32).cast("int") - 1), lambda i: F.sha2(F.concat_ws(":", F.lit(version_), F.lit(str(seed)), label, i.cast("string")).cast("binary"), 256))
+    return F.substring(F.unhex(F.array_join(blocks, "")), 1, count.cast("int"))
+
+
+def block_id(number: Column) -> Column:
+    """The name of a staged block: its number, zero-padded so that all names are equally long, in base 64."""
+    return F.base64(F.lpad(number.cast("string"), 8, "0").cast("binary"))
+
+
+def string_to_sign(verb: Column, headers: list[Column], resource: Column) -> Column:
+    """Fields that a shared key signs, a line each, in their fixed order; a missing one is an empty line."""
+    return F.array_join(F.array(verb, *[F.coalesce(h.cast("string"), F.lit("")) for h in headers], resource), "\n")

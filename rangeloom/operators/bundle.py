@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # The roles that an entry may have.
 ROLES = ("graph", "weights", "config", "preprocess", "vocabulary", "calibration", "opaque")
 
@@ -48,15 +50,56 @@ def invalid_ranges(deps: DataFrame, entries: DataFrame, dep: str, key: str, size
     return violation(rows, "invalid_range", path, F.concat_ws("+", offset, length))
 
 
-def cycles(spark, edges: DataFrame, a: str, b: str, depth: int) -> DataFrame:
-    """Nodes that reach themselves within ``depth`` steps, by a recursive query with distinct frontiers kept small."""
-    edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().createOrReplaceTempView("rangeloom_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, node, depth) AS (
-          SELECT a, b, 1 FROM rangeloom_edges
-          UNION ALL
-          SELECT w.start, e.b, w.depth + 1 FROM walk w JOIN rangeloom_edges e ON w.node = e.a WHERE w.depth < {depth} AND w.node <> w.start)
-        SELECT DISTINCT start AS node FROM walk WHERE node = start""")
+def cycles(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node): nodes that reach themselves, on cycles of any length.
+
+    Nodes that nothing reaches or that reach nothing go, again and again. Then each node takes the largest node that
+    reaches it; what leads back to such a node among those that took it is on a cycle with it. These go too, until no
+    edge is left. Every step is a join with a row for each node at most, and nothing but counts comes to the driver.
+    """
+    rows = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
+    rows = cut(rows, "edges")
+    found = [rows.where("a = b").select(F.col("a").alias("node"))]
+    rows = rows.where("a <> b")
+    while True:
+        rows, n = _trimmed(rows)
+        if not n:
+            break
+        took = _settled(rows.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("top")), rows)
+        same = rows.join(took.select(F.col("node").alias("a"), F.col("top").alias("ta")), "a").join(took.select(F.col("node").alias("b"), F.col("top").alias("tb")), "b")
+        same = cut(same.where("ta = tb").select("a", "b", F.col("ta").alias("top")), "edges")
+        back = took.where("node = top").select("node")
+        size = -1
+        while (now := back.count()) != size:
+            size = now
+            back = cut(back.unionByName(same.join(back.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node"))).distinct(), "cycle-nodes")
+        # A top alone among those that lead back to it is on no cycle.
+        tops = back.join(took, "node").groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+        found.append(back.join(took, "node").join(tops.where("n > 1"), "top", "left_semi").select("node"))
+        rows = cut(rows.join(back.withColumnRenamed("node", "a"), "a", "left_anti").join(back.withColumnRenamed("node", "b"), "b", "left_anti"), "edges")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that are both reached and reaching, and how many there are."""
+    n, size = edges.count(), -1
+    while n and n != size:
+        edges = cut(edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "edges")
+        n, size = edges.count(), n
+    return edges, n
+
+
+def _settled(took: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, top): the largest top that edges carry to each node."""
+    while True:
+        come = edges.join(took.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.max("top").alias("come"))
+        new = cut(took.join(come, "node", "left").select("node", F.greatest("top", "come").alias("top"), (F.col("come") > F.col("top")).alias("moved")), "cycle-tops")
+        took = new.select("node", "top")
+        if new.where("moved").isEmpty():
+            return took
 
 
 def schema_version(text: Column) -> tuple[Column, Column]:
@@ -98,3 +141,9 @@ def inventory_difference(left: DataFrame, right: DataFrame, key: str, fields: li
     diff = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f)) for f in fields])), ",")
     side = F.when(F.col("_k").isNull(), "left").when(F.col(key).isNull(), "right").when(diff != "", diff)
     return rows.select(F.coalesce(key, "_k").alias(key), side.alias("difference")).where("difference is not null")
+
+
+def agreement(rows: DataFrame, by: list[str], digest: Column) -> DataFrame:
+    """Per group: how many different digests, how many rows, and whether all agree. Two levels, so equal ones fold first."""
+    each = rows.groupBy(*by, digest.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("forms"), F.sum("_n").alias("n")).withColumn("agree", F.col("forms") == 1)

@@ -1,77 +1,108 @@
-"""Ordered folds: greedy rules whose next step depends on the last, as one ``aggregate`` per group.
+"""Ordered folds: greedy rules whose next step depends on the last.
 
-A group is one archive's index, which is metadata and small; payload bytes never enter a fold.
+The rows of a group pass once, in order, by a step that holds the open window and nothing else: groups go to partitions,
+partitions are sorted (and spill), and a group of any size is read as a stream. What a rule decides at a row depends on
+all rows before it, so one group is one task's; groups are the members or archives of an index, and payload bytes never
+enter a fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby, islice
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A read may grow to this many bytes, and by this slack over its payload.
 SPAN_CAP, SLACK_NUM, SLACK_DEN = 32 << 20, 5, 4
+#: Rows of a batch that a fold hands on.
+BATCH = 8192
 
 
-def _rows(cols: list[str], order: list[str]) -> Column:
-    return F.sort_array(F.collect_list(F.struct(*order, *[c for c in cols if c not in order])))
+def _folded(rows: DataFrame, by: list[str], cols: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]], out: dict[str, str]) -> DataFrame:
+    """``fold`` over the rows of each group, ordered by ``cols``; it yields tuples for the columns ``out``."""
+    rows = rows.select(*by, *cols)
+    schema = [*[f"`{c}` {k}" for c, k in rows.dtypes[: len(by)]], *[f"`{c}` {k}" for c, k in out.items()]]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[pa.DataType] = []
+
+        def stream() -> Iterator[tuple]:
+            for b in batches:
+                keys[:] = b.schema.types[: len(by)]
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+        groups = groupby(stream(), key=lambda r: r[: len(by)])
+        made = chain.from_iterable((key + x for x in fold(r[len(by) :] for r in own)) for key, own in groups)
+        while part := list(islice(made, BATCH)):
+            types = [*keys, *[kinds[k] for k in out.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], [*by, *out])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *cols).mapInArrow(run, ", ".join(schema))
 
 
 def coalesce_runs(chunks: DataFrame, by: list[str], target: int = 4 << 20) -> DataFrame:
     """Reads that take neighbouring chunks (off, clen) together: (by, run, off, span, payload, chunks)."""
-    state = "struct<done:array<struct<off:bigint,span:bigint,payload:bigint,chunks:bigint>>,off:bigint,stop:bigint,payload:bigint,n:bigint>"
-    zero = F.expr(f"cast(named_struct('done', array(), 'off', 0L, 'stop', 0L, 'payload', 0L, 'n', 0L) as {state})")
-
-    def step(s: Column, c: Column) -> Column:
-        off, clen = c["off"], c["clen"]
-        gap, grown, payload = off - s["stop"], off + clen - s["off"], s["payload"] + clen
-        allowed = F.greatest(F.lit(target).cast("long"), F.floor((s["stop"] - s["off"] + clen) * SLACK_NUM / SLACK_DEN))
-        joins = (s["n"] > 0) & (gap >= 0) & (grown <= SPAN_CAP) & (grown <= allowed) & (s["stop"] - s["off"] < target)
-        closed = F.when(s["n"] > 0, F.array_append(s["done"], F.struct(s["off"].alias("off"), (s["stop"] - s["off"]).alias("span"), s["payload"].alias("payload"), s["n"].alias("chunks")))).otherwise(s["done"])
-        grow = F.struct(s["done"].alias("done"), s["off"].alias("off"), (off + clen).alias("stop"), payload.alias("payload"), (s["n"] + 1).alias("n"))
-        fresh = F.struct(closed.alias("done"), off.alias("off"), (off + clen).alias("stop"), clen.alias("payload"), F.lit(1).cast("long").alias("n"))
-        return F.when(joins, grow).otherwise(fresh).cast(state)
 
-    def finish(s: Column) -> Column:
-        return F.when(s["n"] > 0, F.array_append(s["done"], F.struct(s["off"].alias("off"), (s["stop"] - s["off"]).alias("span"), s["payload"].alias("payload"), s["n"].alias("chunks")))).otherwise(s["done"])
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        run = begin = stop = payload = n = 0
+        for off, clen in rows:
+            grown, slack = off + clen - begin, (stop - begin + clen) * SLACK_NUM // SLACK_DEN
+            if n and off >= stop and grown <= min(SPAN_CAP, max(target, slack)) and stop - begin < target:
+                stop, payload, n = off + clen, payload + clen, n + 1
+                continue
+            if n:
+                yield run, begin, stop - begin, payload, n
+                run += 1
+            begin, stop, payload, n = off, off + clen, clen, 1
+        if n:
+            yield run, begin, stop - begin, payload, n
 
-    folded = chunks.groupBy(*by).agg(_rows(["off", "clen"], ["off"]).alias("r")).select(*by, F.aggregate("r", zero, step, finish).alias("runs"))
-    return folded.select(*by, F.posexplode("runs").alias("run", "x")).select(*by, "run", "x.*")
+    return _folded(chunks, by, ["off", "clen"], fold, {"run": "int", "off": "long", "span": "long", "payload": "long", "chunks": "long"})
 
 
 def budget_windows(items: DataFrame, by: list[str], budget: int) -> DataFrame:
     """Windows of ordered ranges that span at most ``budget``; a larger item is a window of its own: (by, win, lo, hi, items)."""
-    state = "struct<done:array<struct<lo:bigint,hi:bigint,items:bigint>>,lo:bigint,hi:bigint,n:bigint>"
-    zero = F.expr(f"cast(named_struct('done', array(), 'lo', 0L, 'hi', 0L, 'n', 0L) as {state})")
-    done = lambda s: F.array_append(s["done"], F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["n"].alias("items")))
 
-    def step(s: Column, x: Column) -> Column:
-        breaks = (s["n"] == 0) | (F.greatest(s["hi"], x["end"]) - s["lo"] > budget)
-        closed = F.when(s["n"] > 0, done(s)).otherwise(s["done"])
-        fresh = F.struct(closed.alias("done"), x["start"].alias("lo"), x["end"].alias("hi"), F.lit(1).cast("long").alias("n"))
-        grow = F.struct(s["done"].alias("done"), s["lo"].alias("lo"), F.greatest(s["hi"], x["end"]).alias("hi"), (s["n"] + 1).alias("n"))
-        return F.when(breaks, fresh).otherwise(grow).cast(state)
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        win = lo = hi = n = 0
+        for start, end in rows:
+            if n and max(hi, end) - lo <= budget:
+                hi, n = max(hi, end), n + 1
+                continue
+            if n:
+                yield win, lo, hi, n
+                win += 1
+            lo, hi, n = start, end, 1
+        if n:
+            yield win, lo, hi, n
 
-    folded = items.groupBy(*by).agg(_rows(["start", "end"], ["start", "end"]).alias("r"))
-    folded = folded.select(*by, F.aggregate("r", zero, step, lambda s: F.when(s["n"] > 0, done(s)).otherwise(s["done"])).alias("w"))
-    return folded.select(*by, F.posexplode("w").alias("win", "x")).select(*by, "win", "x.*")
+    return _folded(items, by, ["start", "end"], fold, {"win": "int", "lo": "long", "hi": "long", "items": "long"})
 
 
 def device_windows(units: DataFrame, by: list[str], window: int) -> DataFrame:
     """Coded device windows: cut on a block's end once the window is full: (by, win, lo, hi)."""
-    state = "struct<done:array<struct<lo:bigint,hi:bigint>>,lo:bigint,hi:bigint,n:bigint>"
-    zero = F.expr(f"cast(named_struct('done', array(), 'lo', 0L, 'hi', 0L, 'n', 0L) as {state})")
-    done = lambda s, lo, hi: F.array_append(s["done"], F.struct(lo.alias("lo"), hi.alias("hi")))
-
-    def step(s: Column, x: Column) -> Column:
-        lo = F.when(s["n"] > 0, s["lo"]).otherwise(x["start"])
-        full = x["end"] - lo >= window
-        return F.struct(F.when(full, done(s, lo, x["end"])).otherwise(s["done"]).alias("done"), lo.alias("lo"), x["end"].alias("hi"), F.when(full, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("n")).cast(state)
-
-    folded = units.groupBy(*by).agg(_rows(["start", "end"], ["start", "end"]).alias("r"))
-    folded = folded.select(*by, F.aggregate("r", zero, step, lambda s: F.when(s["n"] > 0, done(s, s["lo"], s["hi"])).otherwise(s["done"])).alias("w"))
-    return folded.select(*by, F.posexplode("w").alias("win", "x")).select(*by, "win", "x.*")
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        win, lo, hi = 0, None, None
+        for start, end in rows:
+            lo, hi = start if lo is None else lo, end
+            if hi - lo >= window:
+                yield win, lo, hi
+                win, lo = win + 1, None
+        if lo is not None:
+            yield win, lo, hi
+
+    return _folded(units, by, ["start", "end"], fold, {"win": "int", "lo": "long", "hi": "long"})
+
+
+def plain_windows(total: DataFrame, by: list[str], size: str, window: int) -> DataFrame:
+    """Plain device windows: a fixed stride over ``size`` bytes: (by, win, lo, hi)."""
+    i = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1, F.lit(window).cast("long"))).alias("win", "lo")
+    return total.where(F.col(size) > 0).select(*by, size, i).select(*by, "win", "lo", F.least(F.col("lo") + window, F.col(size)).alias("hi"))
 
 
 def shared_limiter(requests: DataFrame, by: list[str], order: list[str], now: str, count: str, rate: float, latency: float) -> DataFrame:

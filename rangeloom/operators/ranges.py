@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows whose order value shares its upper bits are one bucket of a two-level running sum.
 BUCKET_BITS = 12
+#: Tiles whose number shares its upper bits are one row of tiles of a two-level running maximum.
+ROW_BITS = 10
 
 
 def running_offsets(df: DataFrame, order: str, size: str, start: str = "start", end: str = "end", bucket_bits: int = BUCKET_BITS) -> DataFrame:
@@ -39,13 +41,29 @@ def merge_ranges(spans: DataFrame, by: list[str] = [], start: str = "start", end
     return rows.groupBy(*by, "island").agg(F.min("lo").alias(start), F.max("hi").alias(end)).drop("island")
 
 
-def merge_ranges_by_tile(spans: DataFrame, tile: int, start: str = "start", end: str = "end") -> DataFrame:
-    """merge_ranges() of one large group: within tiles of the address space first, then over the tiles' own results."""
+def merge_ranges_by_tile(spans: DataFrame, tile: int, start: str = "start", end: str = "end", levels: int = 2, widen: int = 1024) -> DataFrame:
+    """merge_ranges() of one large group: within tiles of the address space first. What touches no border of its tile is
+    merged by then; the rest goes on to tiles ``widen`` times as wide, and only borders of the widest tiles meet in one task."""
     last = F.greatest(F.col(end) - 1, F.col(start))
     pieces = spans.select(F.explode(F.sequence(F.floor(F.col(start) / tile), F.floor(last / tile))).alias("tile"), F.col(start).alias("s"), F.col(end).alias("e"))
     pieces = pieces.select("tile", F.greatest("s", F.col("tile") * tile).cast("long").alias("s"), F.least("e", (F.col("tile") + 1) * tile).cast("long").alias("e"))
     local = merge_ranges(pieces, ["tile"], "s", "e")
-    return merge_ranges(local.select(F.col("s").alias(start), F.col("e").alias(end)), [], start, end)
+    border = (F.col("s") == F.col("tile") * tile) | (F.col("e") == (F.col("tile") + 1) * tile)
+    inner, rest = (local.where(x).select(F.col("s").alias(start), F.col("e").alias(end)) for x in (~border, border))
+    return inner.unionByName(merge_ranges_by_tile(rest, tile * widen, start, end, levels - 1, widen) if levels > 1 else merge_ranges(rest, [], start, end))
+
+
+def units_of(index: DataFrame, chunk: int, start: str = "start", end: str = "end", step: int = 1 << 16) -> DataFrame:
+    """(off, len): pieces of ``chunk`` bytes of all bytes that the index covers from 0 on, the last one short.
+
+    Each range gives the pieces that begin in it, ``step`` of them at a time, so no row holds the pieces of the whole.
+    """
+    first, last = F.ceil(F.col(start) / chunk).cast("long"), (F.ceil(F.col(end) / chunk) - 1).cast("long")
+    rows = index.where(F.col(start) < F.col(end)).select(first.alias("_a"), last.alias("_z")).where("_a <= _z")
+    rows = rows.select("_z", F.explode(F.sequence("_a", "_z", F.lit(step).cast("long"))).alias("_a"))
+    rows = rows.select(F.explode(F.sequence("_a", F.least("_z", F.col("_a") + step - 1))).alias("_i"))
+    total = index.agg(F.max(end).alias("_n"))  # one row
+    return rows.join(F.broadcast(total)).select((F.col("_i") * chunk).alias("off"), F.least(F.lit(chunk).cast("long"), F.col("_n") - F.col("_i") * chunk).alias("len"))
 
 
 def overlapping_units(units: DataFrame, spans: DataFrame, chunk: int, total: int | None = None) -> DataFrame:
@@ -123,14 +141,19 @@ def floor_lookup(points: DataFrame, starts: DataFrame, point: str, start: str, k
     """As-of join backward: for each point the last row of ``starts`` at or before it.
 
     Both sides go to tiles of the axis; within a tile the last start so far is carried by a window, and a start that
-    reigns over whole tiles is carried by a running maximum over tile heads.
+    reigns over whole tiles is carried by a running maximum over tile heads, in two levels.
     """
     p = points.withColumn("_t", F.floor(F.col(point) / tile)).withColumn("_x", F.col(point)).withColumn("_k", F.lit(1))
     s = starts.select(F.col(start).alias("_x"), F.struct(F.col(start).alias("s"), *keep).alias("_v")).withColumn("_t", F.floor(F.col("_x") / tile)).withColumn("_k", F.lit(0))
     heads = s.groupBy("_t").agg(F.max("_v").alias("_h"))
     tiles = heads.select("_t").union(p.select("_t")).distinct().join(heads, "_t", "left")
-    carry = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    tiles = tiles.select("_t", F.max("_h").over(carry).alias("_c"))
+    # The last start so far among the tiles of a row of tiles, else the last of the rows before; rows are few.
+    row = F.shiftright("_t", ROW_BITS)
+    near = Window.partitionBy("_r").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    far = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    rows = heads.groupBy(row.alias("_r")).agg(F.max("_h").alias("_h")).unionByName(tiles.select(row.alias("_r")).distinct(), allowMissingColumns=True)
+    rows = rows.groupBy("_r").agg(F.max("_h").alias("_h")).select("_r", F.max("_h").over(far).alias("_far"))
+    tiles = tiles.withColumn("_r", row).withColumn("_near", F.max("_h").over(near)).join(rows, "_r").select("_t", F.coalesce("_near", "_far").alias("_c"))
     w = Window.partitionBy("_t").orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
     both = p.join(tiles, "_t").unionByName(s, allowMissingColumns=True).withColumn("_f", F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_c")))
     return both.where("_k = 1").select(*points.columns, F.col("_f.s").alias(f"floor_{start}"), *[F.col(f"_f.{c}").alias(f"floor_{c}") for c in keep])
@@ -144,3 +167,10 @@ def tensors_by_name(index: DataFrame, wanted: DataFrame, name: str = "name") ->
 def largest(index: DataFrame, n: int = 20) -> DataFrame:
     """The n largest tensors; ties by name."""
     return index.orderBy(F.col("nbytes").desc(), "name").limit(n)
+
+
+def device_spans(index: DataFrame, wanted: DataFrame | None, tile: int) -> DataFrame:
+    """(start, end) that a device load must cover: one range with all of it, or the merged ranges of what is wanted."""
+    if wanted is None:
+        return index.agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merge_ranges_by_tile(wanted.select("start", "end"), tile)

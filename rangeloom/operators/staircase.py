@@ -56,3 +56,11 @@ def first_wave(points: DataFrame, by: list[str], g: str, ms: str) -> DataFrame:
     base = rows.groupBy(*by).agg(F.median(F.when(F.col("i") < 3, F.col(ms))).alias("base"), F.count(F.lit(1)).alias("n"))
     at = rows.join(base, by).where((F.col("n") >= 6) & (F.col("i") >= 3) & (F.col(ms) >= FIRST * F.col("base")))
     return at.groupBy(*by).agg(F.min(g).alias("first_above"))
+
+
+def calibrate(shapes: DataFrame, expected: DataFrame, shape: str, run: str, want: str) -> DataFrame:
+    """(shape, want, ok): whether what is expected lies in [cap_lo, cap_hi) of every run; false if a run has no staircase."""
+    runs = shapes.select(run).distinct().agg(F.count(F.lit(1)).alias("_runs"))
+    rows = expected.join(shapes.select(F.col(shape).alias("_s"), "cap_lo", "cap_hi"), F.col(shape) == F.col("_s"), "left").join(F.broadcast(runs))
+    inside = F.bool_and((F.col("cap_lo") <= F.col(want)) & (F.col(want) < F.col("cap_hi")))
+    return rows.groupBy(shape, want).agg(F.coalesce((F.count("cap_lo") == F.max("_runs")) & inside, F.lit(False)).alias("ok"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def session(app: str = "rangeloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with AQE, ANSI and UTC; cluster settings from spark-submit win over none of these."""
@@ -24,3 +29,18 @@ def session(app: str = "rangeloom", master: str | None = None, shuffle_partition
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the folder that the cluster names in spark.checkpoint.dir and read it back: what follows plans
+    from the written rows, and any executor may be lost. Where all is one process a folder of this machine does."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
+        folder = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rangeloom-"))
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,13 +13,20 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType
+
+from ..operators.ranges import fixed_chunks
 
 MAGIC, TAIL, VERSION = b"RLOOMARC", b"RLOOMTAI", 1
 HEAD, FOOT = struct.Struct("<8sI"), struct.Struct("<QQ8s")
 CHUNK, TARGET = 4 << 20, 4 << 20
 OPTIONS = {"level", "chunk"}
+#: First bytes of a Zstandard frame.
+ZSTD = b"\x28\xb5\x2f\xfd"
 
 
 class CorruptArchive(ValueError):
@@ -131,6 +138,41 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
+def plain_chunks(rows: DataFrame, key: str, content: str, chunk: int = CHUNK) -> DataFrame:
+    """(key, dst, rlen, crc, content): the contents in pieces of ``chunk`` bytes, with the checksum of each."""
+    pieces = rows.select(key, content, F.inline(fixed_chunks(F.octet_length(content).cast("long"), chunk)))
+    own = F.substring(F.col(content), (F.col("off") + 1).cast("int"), F.col("len").cast("int"))
+    out = pieces.select(F.col(key), F.col("off").alias("dst"), F.col("len").alias("rlen"), own.alias("content"))
+    return out.select(key, "dst", "rlen", F.crc32("content").alias("crc"), "content")
+
+
+def encode_chunks(rows: DataFrame, key: str, content: str, chunk: int = CHUNK, level: int = 1) -> DataFrame:
+    """(key, dst, rlen, crc, clen, coded): a container as rows, chunks compressed alone. Spark's own writers are its sink, so
+    encoding has as many tasks as there are contents."""
+
+    @F.pandas_udf(BinaryType())
+    def press(plain: pd.Series) -> pd.Series:
+        return plain.map(lambda x: zlib.compress(x, level))
+
+    out = plain_chunks(rows, key, content, chunk).withColumn("coded", press("content").alias("coded"))
+    return out.select(key, "dst", "rlen", "crc", F.octet_length("coded").cast("long").alias("clen"), "coded")
+
+
+@F.pandas_udf(BinaryType())
+def inflate(coded: pd.Series) -> pd.Series:
+    """Plain bytes, by the coder that the first bytes tell: Zstandard's frame, else deflate."""
+    import zstandard
+
+    return coded.map(lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x) if x[:4] == ZSTD else zlib.decompress(x))
+
+
+def decode_chunks(chunks: DataFrame) -> DataFrame:
+    """Rows of encode_chunks() with their contents; a length or checksum that differs is an error."""
+    out = chunks.withColumn("content", inflate("coded"))
+    right = (F.octet_length("content") == F.col("rlen")) & (F.crc32("content") == F.col("crc"))
+    return out.withColumn("content", F.when(right, F.col("content")).otherwise(F.raise_error(F.lit("checksum differs")).cast("binary"))).drop("coded", "clen")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
 

@@ -32,8 +32,13 @@ def read(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
 
 
 def sharded(spark: SparkSession, index_json: str, tensors_: DataFrame) -> DataFrame:
-    """Tensors of a sharded model, each from the shard its index names; the shard stays in the key, as offsets are its own."""
-    doc = spark.read.text(index_json, wholetext=True).select(F.explode(F.from_json("value", "struct<weight_map:map<string,string>>").getField("weight_map")).alias("name", "shard"))
+    """Tensors of a sharded model, each from the shard its index file names."""
+    return from_shards(spark.read.text(index_json, wholetext=True), tensors_)
+
+
+def from_shards(index: DataFrame, tensors_: DataFrame) -> DataFrame:
+    """Rows (path, name, ..) that the index text ``value`` assigns to their file; the shard stays in the key, as offsets are its own."""
+    doc = index.select(F.explode(F.from_json("value", "struct<weight_map:map<string,string>>").getField("weight_map")).alias("name", "shard"))
     own = tensors_.withColumn("shard", F.element_at(F.split("path", "/"), -1))
     return own.join(doc, ["name", "shard"])
 

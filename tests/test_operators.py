@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rangeloom.functions import sealing, text as tx
-from rangeloom.operators import events, folds, ranges, staircase
+from rangeloom.operators import bundle, campaign, events, folds, ranges, staircase
 from rangeloom.plans import cost, gate
-from rangeloom.sources import archive, tensorfile
+from rangeloom.sources import archive, sealed, tensorfile
 
 
 def rows(df):
@@ -168,11 +168,83 @@ def test_text_rules(spark):
     assert val(tx.scheme_kind(F.lit("abfss://c@a/x"))) == "azure" and val(tx.scheme_kind(F.lit("/x"))) == "file"
 
 
-def test_stream_order(spark, tmp_path):
-    from rangeloom.streaming import lifecycle
+def test_units_of_match_one_array(spark):
+    rng, at, rows_ = random.Random(4), 0, []
+    for i in range(40):
+        n = rng.choice([0, 1, 5, 63, 64, 65, 300])
+        rows_.append((i, at, at + n))
+        at += n
+    got = rows(ranges.units_of(spark.createDataFrame(rows_, "i long, start long, end long"), 64, step=2))
+    assert got == [(o, min(64, at - o)) for o in range(0, at, 64)]
 
-    spark.createDataFrame([(1, "a"), (1, "c"), (1, "b"), (2, "a")], "run long, event string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = lifecycle.order_violations(spark.readStream.schema("run long, event string").parquet(str(tmp_path / "in")), "run", "event", ["a", "b", "c"])
-    q = s.writeStream.format("memory").queryName("violations").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert rows(spark.table("violations")) == [(1, "b", "c")]
+
+def test_merge_by_tile_over_wide_borders(spark):
+    rng = random.Random(6)
+    spans = [(a, a + rng.randrange(0, 40)) for a in (rng.randrange(0, 4000) for _ in range(90))] + [(500, 1700)]
+    df = spark.createDataFrame(spans, "start long, end long")
+    assert rows(ranges.merge_ranges_by_tile(df, 16, widen=4)) == rows(ranges.merge_ranges(df))
+
+
+def test_floor_lookup_over_rows_of_tiles(spark):
+    rng = random.Random(7)
+    starts = sorted(rng.sample(range(0, 3_000_000), 25))
+    points = [(i, rng.randrange(0, 3_000_000)) for i in range(120)]
+    got = rows(ranges.floor_lookup(spark.createDataFrame(points, "i long, x long"), spark.createDataFrame([(s,) for s in starts], "lo long"), "x", "lo", [], 64).select("i", "floor_lo"))
+    assert got == [(i, max((s for s in starts if s <= x), default=None)) for i, x in points]
+
+
+def test_cycles_of_any_length(spark):
+    """A ring of 40, a ring behind it, a tail on both sides, a diamond without a cycle, and a loop."""
+    edges = [(i, (i + 1) % 40) for i in range(40)] + [(5, 100), (100, 101), (101, 102), (102, 101)] + [(200, 0), (102, 300), (300, 301)]
+    edges += [(400, 401), (400, 402), (401, 403), (402, 403), (500, 500), (None, 1), (1, None)]
+    got = bundle.cycles(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    assert {r["node"] for r in got.collect()} == {*range(40), 101, 102, 500}
+    assert bundle.cycles(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_paired_ratio_needs_both(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 5.0), (2, "b", 5.0), (3, "a", 2.0), (4, "a", 0.0), (4, "b", 1.0)], "p long, arm string, v double")
+    assert {r["p"]: r["ratio"] for r in campaign.paired_ratio(df, ["p"], "arm", "v", "a", "b").collect()} == {1: 2.5, 2: None, 3: None, 4: 1e12}
+
+
+def test_rank_of_ties_and_small_groups(spark):
+    rng = random.Random(9)
+    data = [("a", float(rng.randrange(20))) for _ in range(301)] + [("b", 1.0)] + [("c", float(rng.random())) for _ in range(200)] + [("d", None)]
+    got = {r["g"]: (r["p95"], r["upper_median"]) for r in campaign.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()}
+    want = {}
+    for g in "abc":
+        v = sorted(x for k, x in data if k == g)
+        want[g] = (v[max(1, int(len(v) * 0.95)) - 1] if len(v) >= 30 else None, v[len(v) // 2])
+    assert got == want
+
+
+def test_large_group_folds_as_a_stream(spark):
+    n = 30000
+    df = spark.range(n).select(F.lit("g").alias("g"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"))
+    got = rows(folds.budget_windows(df, ["g"], 100).select("win", "lo", "hi", "items"))
+    assert got == [(i, i * 100, i * 100 + 100, 10) for i in range(n // 10)]
+    assert rows(folds.plain_windows(spark.createDataFrame([("a", 25), ("b", 0)], "g string, t long"), ["g"], "t", 10)) == [("a", 0, 0, 10), ("a", 1, 10, 20), ("a", 2, 20, 25)]
+
+
+def test_sealed_reads_refuse_changed_extents(spark):
+    keys = spark.createDataFrame([(bytes(32),)], "key binary")
+    e = spark.createDataFrame([("f", i, i * 10, 10, i % 2 == 0, bytes([i] * 10)) for i in range(6)], "file string, ord long, start long, len long, clear boolean, content binary")
+    stored = sealed.seal_file(e, keys)
+    asked = spark.createDataFrame([("f", 5, 25), ("f", 20, 30), ("f", 31, 59)], "file string, lo long, hi long")
+    whole = b"".join(bytes([i] * 10) for i in range(6))
+    assert {(r["lo"], bytes(r["content"])) for r in sealed.read(stored, keys, asked, 16).collect()} == {(lo, whole[lo:hi]) for _, lo, hi in [("f", 5, 25), ("f", 20, 30), ("f", 31, 59)]}
+    bad = stored.withColumn("stored", F.when(F.col("ord") == 3, F.concat(F.lit(b"\x00"), F.expr("substring(stored, 2)"))).otherwise(F.col("stored")))
+    assert {r["lo"]: r["content"] is None for r in sealed.read(bad, keys, asked, 16).collect()} == {5: False, 20: False, 31: True}
+
+
+def test_chunks_by_either_coder(spark):
+    import zlib
+
+    import zstandard
+
+    plain = b"some plain bytes" * 50
+    both = [("a", 0, len(plain), zlib.crc32(plain), 0, zlib.compress(plain)), ("b", 0, len(plain), zlib.crc32(plain), 0, zstandard.ZstdCompressor().compress(plain))]
+    shape = "k string, dst long, rlen long, crc long, clen long, coded binary"
+    assert {bytes(r["content"]) for r in archive.decode_chunks(spark.createDataFrame(both, shape)).collect()} == {plain}
+    with pytest.raises(Exception, match="checksum"):
+        archive.decode_chunks(spark.createDataFrame([("a", 0, len(plain), 1, 0, zlib.compress(plain))], shape)).collect()
