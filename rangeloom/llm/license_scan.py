@@ -89,12 +89,20 @@ def _has(spaced: str, word: str) -> Column:
     return F.col(spaced).contains(f" {word} ")
 
 
-def word_order(texts: DataFrame, words: list[str]) -> DataFrame:
+def _split(text: Column) -> Column:
+    """The words of a text in order; the first and last may be empty."""
+    return F.split(_lower(text), GAP)
+
+
+def _array(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def word_order(texts: DataFrame, words: list[str], text: str) -> DataFrame:
     """(word, place): template words by how many texts have them, rarest first; ties by the word. As many rows as template words."""
-    padded = F.array(*[F.lit(f" {w} ") for w in words])
-    held = texts.select(F.explode(F.filter(padded, lambda x: F.col("w").contains(x))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    own = texts.sparkSession.createDataFrame([(w, f" {w} ") for w in words], "word string, padded string")
-    row = own.join(held.withColumnRenamed("word", "padded"), "padded", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("s"))
+    held = texts.select(F.explode(F.array_intersect(_split(F.col(text)), _array(words))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    own = texts.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    row = own.join(held, "word", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word").alias("s"))
     return row.agg(F.sort_array(F.collect_list("s")).alias("s")).select(F.posexplode("s").alias("place", "s")).select(F.col("s.word").alias("word"), "place")
 
 
@@ -106,10 +114,8 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thr
     vocabulary = sorted({w for ws in sets.values() for w in ws})
     least = {k: -(-len(ws) * threshold // 100) for k, ws in sets.items()}
     given = docs.where(F.col(text).isNotNull())
-    spaced = _spaced(F.col(text))
-    texts = given.select(spaced.alias("w"))
     # The order, as many words as the templates have; it goes into the plan of the scan.
-    place = {r["word"]: r["place"] for r in word_order(texts, vocabulary).collect()}
+    place = {r["word"]: r["place"] for r in word_order(given, vocabulary, text).collect()}
     spark = docs.sparkSession
     rows = []
     for k, ws in sets.items():
@@ -117,14 +123,13 @@ def template_matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thr
         rows += [(k, len(ws), least[k], spans[k], ws, i, w) for i, w in enumerate(ws[: len(ws) - least[k] + 1])]
     prefix = spark.createDataFrame(rows, "label string, size int, need int, span int, t_words array<string>, k int, word string")
     rare = sorted({r[-1] for r in rows})
-    # Prefix filter: most texts have no such word and go before they are split. An array of one binds the words to a name.
-    some = F.exists(F.array(spaced), lambda w: reduce(or_, [w.contains(f" {r} ") for r in rare]))
-    near = given.where(some).select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), spaced.alias("w"))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    at = F.filter(F.transform(F.split(F.trim("w"), " "), lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(known, x["word"]))
+    # Prefix filter: most texts have no such word.
+    near = given.where(F.arrays_overlap(_split(F.col(text)), _array(rare))).select(F.col(key).alias("doc"), F.xxhash64(text).alias("h"), _split(F.col(text)).alias("a"))
+    known = _array(vocabulary)
+    at = F.filter(F.transform("a", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: F.array_contains(known, x["word"]))
     near = near.select("doc", "h", at.alias("all"))
     near = near.withColumn("words", F.array_distinct(F.transform("all", lambda x: x["word"])))
-    rows = near.select("doc", "h", "all", "words", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in rare]))).alias("word"))
+    rows = near.select("doc", "h", "all", "words", F.explode(F.array_intersect("words", _array(rare))).alias("word"))
     pairs = rows.join(F.broadcast(prefix), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("k") >= F.col("need")))
     # A pair counts once: by the first word of the template that the text has.
     first = F.element_at(F.filter("t_words", lambda w: F.array_contains(F.col("words"), w)), 1) == F.col("word")
