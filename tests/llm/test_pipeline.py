@@ -2,6 +2,7 @@ import os
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rangeloom.llm import decontaminate, registry, repeats, toxicity
@@ -72,3 +73,40 @@ def test_registered():
 
 def test_merge():
     assert repeats.merge([(5, 9), (0, 5), (20, 22)]) == [(0, 9), (20, 22)]
+
+
+CLASHES = ("score", "evidence", "passages", "_score", "component_id", "n_shingles", "row", "gone", "hit_key", "item_id", "ids", "decoded", "n_pieces", "lossless", "spans", "kept", "n_bytes", "uid", "k", "t", "cuts")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_clashing_columns_change_nothing(spark):
+    """Columns of any name that a stage adds are the documents' own: kept as they are, and never read for the stage's."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    more = docs
+    for i, c in enumerate(CLASHES):
+        more = more.withColumn(c, F.lit(9 + i))
+    for name, stage in corpus_pipeline.STAGES:
+        plain, clashed = corpus_pipeline.keep(stage(spark, docs, SF), "test"), corpus_pipeline.keep(stage(spark, more, SF), "test")
+        assert pairs(plain.orderBy("doc_id")) == pairs(clashed.orderBy("doc_id")) and plain.count() > 0
+        assert {tuple(r) for r in clashed.select(*CLASHES).distinct().collect()} == {tuple(9 + i for i in range(len(CLASHES)))}
+        docs, more = plain, clashed
+    own = {r["doc_id"]: (r["ids"], r["n_pieces"], r["lossless"]) for r in docs.collect()}
+    assert {r["doc_id"]: (r["_ids"], r["_n_pieces"], r["_lossless"]) for r in more.collect()} == own
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_empty_table_goes_through(spark, empty):
+    docs = empty.drop("size")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.keep(stage(spark, docs, SF), "test")
+        assert docs.count() == 0 and set(empty.columns) - {"size"} <= set(docs.columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run_clears_its_tables(spark, tmp_path):
+    from rangeloom.llm.common import shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    out = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(shared_folder(spark))) - before
+    assert out.count() > 0 and len(left) == 1 and all(x.startswith("pipeline-sentencepiece") for x in left)
