@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .functions import planes, sealing, text as tx
 from .operators import bundle, manifest, ranges
@@ -316,3 +317,60 @@ def routes_agree(spark, d):
     return bundle.agreement(table(spark, d, "documents").where("text is not null"), ["lang", "source"], F.sha2("text", 256))
 
 
+
+
+@query(f"SELECT page_id, {SHA} AS digest FROM pages")
+def codec_round_trips(spark, d):
+    """Each coder gives back what it took: one digest a page over all of them."""
+    from .codecs import CODECS, codec
+
+    @F.pandas_udf(BinaryType())
+    def through(plain):
+        def one(x: bytes) -> bytes:
+            for name in sorted(CODECS):
+                own = codec(name)
+                x = own.decode(own.encode(x))
+            return x
+
+        return plain.map(one)
+
+    return table(spark, d, "pages").select("page_id", F.sha2(through(F.col("url").cast("binary")), 256).alias("digest"))
+
+
+@query("SELECT p_brand AS brand, CAST(count(*) AS BIGINT) AS n, CAST(sum(p_size) AS BIGINT) AS bytes, TRUE AS valid FROM part GROUP BY p_brand")
+def manifest_round_trip(spark, d):
+    """Manifests built from entries, read again and validated: as many entries and bytes, and nothing wrong."""
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("key"), F.concat(F.lit("d/"), "p_partkey").alias("path"), F.col("p_size").cast("long").alias("length"), F.lit("weights").alias("role"), F.sha2("p_name", 256).alias("sha256"))
+    built = manifest.build(rows, "key").withColumnRenamed("manifest", "text")
+    parsed = manifest.read(built, "key", "text")
+    wrong = manifest.violations(parsed, "key", "text").select("key").unionByName(manifest.entry_violations(manifest.entries(parsed, "key"), "key").select("key")).distinct().withColumn("bad", F.lit(True))
+    per = manifest.entries(parsed, "key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    return per.join(wrong, "key", "left").select(F.col("key").alias("brand"), "n", "bytes", F.col("bad").isNull().alias("valid"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN '[' || array_to_string(list_transform(range(0, 24), lambda i: CAST(i AS VARCHAR)), ',') || ']' WHEN page_id % 4 = 2 THEN '\"' || repeat('y', 240) || '\"' ELSE '{\"a\":{\"b\":{\"c\":{\"d\":{\"e\":\"<truncated>\"}}}}}' END AS value FROM pages")
+def bounded_values(spark, d):
+    i = F.col("page_id")
+    given = F.when(i % 4 == 1, F.to_json(F.sequence(F.lit(0), F.lit(40)))).when(i % 4 == 2, F.lit("y" * 300)).when(i % 4 == 3, F.lit('{"a":{"b":{"c":{"d":{"e":{"f":1}}}}}}'))
+    return table(spark, d, "pages").select("page_id", manifest.bounded(given).alias("value"))
+
+
+@query("SELECT 'e' || s_suppkey AS entry, 's' || s_suppkey % 4 AS source, s_suppkey % 3 <> 0 AS present FROM supplier UNION ALL SELECT 'one ' || s_suppkey, 's' || s_suppkey % 4, s_suppkey % 3 <> 0 FROM supplier WHERE s_suppkey % 4 = 2")
+def cache_entries(spark, d):
+    """What the sidecars of a cache tell of, all and of one source, and whether it is there."""
+    i = F.col("s_suppkey")
+    side = table(spark, d, "supplier").select(F.concat(F.lit("e"), i).alias("entry"), F.concat(F.lit("s"), i % 4).alias("source"), i.alias("k"))
+    there = side.where("k % 3 <> 0")
+    one = manifest.cached(side, there, "s2").withColumn("entry", F.concat(F.lit("one "), "k"))
+    return manifest.cached(side, there).unionByName(one).select("entry", "source", "present")
+
+
+@query("SELECT doc_id AS file, 'structure' AS code FROM documents WHERE text <> '' AND doc_id % 5 = 0")
+def structure_checks(spark, d):
+    """Files whose clear bytes or extents were changed after their MAC was made, and those without one."""
+    stored, _ = _sealed(spark, d)
+    key = bytes(range(32))
+    declared = sealed.structure_mac(stored, key)
+    moved = stored.withColumn("start", F.when((F.col("file") % 10 == 0) & (F.col("ord") == 0), F.col("start") + 1).otherwise(F.col("start")))
+    changed = moved.withColumn("stored", F.when((F.col("file") % 10 == 5) & (F.col("ord") == 0), F.concat(F.lit(b"\0"), F.expr("substring(stored, 2)"))).otherwise(F.col("stored")))
+    return sealed.altered(changed, declared, key).select(F.col("path").cast("long").alias("file"), "code")

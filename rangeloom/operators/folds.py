@@ -8,10 +8,12 @@ enter a fold.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, groupby, islice
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,24 +46,25 @@ def _folded(rows: DataFrame, by: list[str], cols: list[str], fold: Callable[[Ite
     return rows.repartition(*by).sortWithinPartitions(*by, *cols).mapInArrow(run, ", ".join(schema))
 
 
-def coalesce_runs(chunks: DataFrame, by: list[str], target: int = 4 << 20) -> DataFrame:
-    """Reads that take neighbouring chunks (off, clen) together: (by, run, off, span, payload, chunks)."""
-
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        run = begin = stop = payload = n = 0
-        for off, clen in rows:
-            grown, slack = off + clen - begin, (stop - begin + clen) * SLACK_NUM // SLACK_DEN
-            if n and off >= stop and grown <= min(SPAN_CAP, max(target, slack)) and stop - begin < target:
-                stop, payload, n = off + clen, payload + clen, n + 1
-                continue
-            if n:
-                yield run, begin, stop - begin, payload, n
-                run += 1
-            begin, stop, payload, n = off, off + clen, clen, 1
+def coalesced(rows: Iterable[tuple[int, int]], target: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(run, off, span, payload, chunks) of the reads that neighbouring chunks (off, clen) make."""
+    run = begin = stop = payload = n = 0
+    for off, clen in rows:
+        grown, slack = off + clen - begin, (stop - begin + clen) * SLACK_NUM // SLACK_DEN
+        if n and off >= stop and grown <= min(SPAN_CAP, max(target, slack)) and stop - begin < target:
+            stop, payload, n = off + clen, payload + clen, n + 1
+            continue
         if n:
             yield run, begin, stop - begin, payload, n
+            run += 1
+        begin, stop, payload, n = off, off + clen, clen, 1
+    if n:
+        yield run, begin, stop - begin, payload, n
 
-    return _folded(chunks, by, ["off", "clen"], fold, {"run": "int", "off": "long", "span": "long", "payload": "long", "chunks": "long"})
+
+def coalesce_runs(chunks: DataFrame, by: list[str], target: int = 4 << 20) -> DataFrame:
+    """Reads that take neighbouring chunks (off, clen) together: (by, run, off, span, payload, chunks)."""
+    return _folded(chunks, by, ["off", "clen"], lambda rows: coalesced(rows, target), {"run": "int", "off": "long", "span": "long", "payload": "long", "chunks": "long"})
 
 
 def budget_windows(items: DataFrame, by: list[str], budget: int) -> DataFrame:
@@ -121,3 +124,7 @@ def shared_limiter(requests: DataFrame, by: list[str], order: list[str], now: st
 def stream_windows(windows: DataFrame, order: list[str]) -> Iterator:
     """Windows one after another in offset order, fetched ahead; the budget of a window bounds what is held."""
     return windows.orderBy(*order).toLocalIterator(prefetchPartitions=True)
+
+
+# Tasks get this module by value: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from abc import ABC, abstractmethod
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import digest_is_valid, path_is_safe
-from .bundle import ROLES, entry_id, schema_version
+from .bundle import ROLES, cycles, entry_id, schema_version
 
 #: The schema that is read, and the newest minor version of it.
 MAJOR, MINOR = 1, 0
@@ -126,3 +128,117 @@ def cache_hits(sources: DataFrame, entries_: DataFrame, fields: list[str], entry
     for f in fields:
         cond = cond & (F.col(f) == F.col(f"_{f}"))
     return sources.join(e, cond, "left").drop(*[f"_{f}" for f in fields])
+
+
+def build(rows: DataFrame, key: str, entry_point: str | None = None) -> DataFrame:
+    """(key, manifest) from entries (key, path, role, length, sha256): a manifest that read() takes, with its identity."""
+    entry = F.struct(F.col("path"), F.col("length"), F.col("role"), F.col("sha256"))
+    per = rows.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))  # one manifest is one row
+    fields = [F.lit(f"{MAJOR}.{MINOR}").alias("schema"), F.col("entries")] + ([F.lit(entry_point).alias("entry_point")] if entry_point else [])
+    bare = per.select(key, "entries", F.to_json(F.struct(*fields)).alias("_bare"))
+    return bare.select(key, F.to_json(F.struct(*fields, identity(F.col("_bare")).alias("manifest_sha256"))).alias("manifest"))
+
+
+class Provider(ABC):
+    """What opens bundles of one kind: their manifests, and the files that these name, as (key, path, length, sha256)."""
+
+    @abstractmethod
+    def manifests(self) -> DataFrame:
+        """(key, text)"""
+
+    @abstractmethod
+    def files(self) -> DataFrame:
+        """(key, path, length, sha256) of what is there."""
+
+    def inventory(self, strict: bool = True) -> DataFrame:
+        """(key, path, role, length, sha256, valid); without ``strict`` no file is looked at and valid is NULL."""
+        rows = entries(read(self.manifests(), "key", "text"), "key").select("key", "path", "role", "length", "sha256")
+        if not strict:
+            return rows.withColumn("valid", F.lit(None).cast("boolean"))
+        there = self.files().select(F.col("key").alias("_k"), F.col("path").alias("_p"), F.col("length").alias("_l"), F.lower("sha256").alias("_d"))
+        same = F.coalesce((F.col("length") == F.col("_l")) & (F.col("sha256") == F.col("_d")), F.lit(False))
+        return rows.join(there, (F.col("key") == F.col("_k")) & (F.col("path") == F.col("_p")), "left").withColumn("valid", same).drop("_k", "_p", "_l", "_d")
+
+    def validate(self) -> DataFrame:
+        """(key, code, path, detail) of all that is wrong, none if all is well."""
+        parsed = read(self.manifests(), "key", "text")
+        rows = entries(parsed, "key")
+        deps = rows.select("key", "path", F.explode("dependencies").alias("d")).select("key", "path", F.coalesce("d.path", "d.entry", "d.name").alias("dep"), F.coalesce("d.id", "d.identity").alias("dep_id"))
+        by_path = rows.select(F.col("key").alias("_k"), F.col("path").alias("_p"), F.col("id").alias("_own"))
+        by_id = rows.select(F.col("key").alias("_j"), F.col("id").alias("_i"), F.col("path").alias("_q"))
+        found = deps.join(by_path, (F.col("key") == F.col("_k")) & (F.col("dep") == F.col("_p")), "left").join(by_id, (F.col("key") == F.col("_j")) & (F.col("dep_id") == F.col("_i")), "left")
+        code = F.when(F.col("_p").isNull() & F.col("_q").isNull(), "missing_dependency").when(F.col("_p").isNotNull() & (F.col("dep_id") != F.col("_own")), "ambiguous_dependency")
+        wrong = found.select("key", code.alias("code"), "path", F.coalesce("dep", "dep_id").alias("detail")).where("code is not null")
+        edges = found.select(F.concat_ws("\0", "key", "path").alias("a"), F.concat_ws("\0", "key", F.coalesce("_p", "_q")).alias("b")).where("b is not null")
+        ring = cycles(edges, "a", "b").select(F.substring_index("node", "\0", 1).alias("key"), F.lit("dependency_cycle").alias("code"), F.substring_index("node", "\0", -1).alias("path"), F.lit(None).cast("string").alias("detail"))
+        bad = self.inventory().where("not valid").select("key", F.lit("content").alias("code"), "path", F.lit(None).cast("string").alias("detail"))
+        key = F.col("key").cast("string").alias("key")
+        out = [violations(parsed, "key", "text"), entry_violations(rows, "key"), wrong, ring, bad]
+        first, *rest = [x.select(key, "code", "path", "detail") for x in out]
+        for x in rest:
+            first = first.unionByName(x)
+        return first
+
+
+class TableProvider(Provider):
+    """Bundles whose manifests and contents are tables: (key, text), and (key, path, content)."""
+
+    def __init__(self, manifests: DataFrame, contents: DataFrame):
+        self._manifests, self._contents = manifests, contents
+
+    def manifests(self) -> DataFrame:
+        return self._manifests
+
+    def files(self) -> DataFrame:
+        return self._contents.select("key", "path", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
+
+    def materialize(self, destination: str) -> None:
+        """Write the contents that manifests name, once all is valid; an existing destination is refused, and it appears
+        as a whole or not at all."""
+        wrong = self.validate().limit(5).collect()
+        if wrong:
+            raise ValueError(f"not valid: {[(r['code'], r['path']) for r in wrong]}")
+        spark = self._contents.sparkSession
+        named = self.inventory(strict=False).select("key", "path")
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        files = place(destination).getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(place(destination)):
+            raise FileExistsError(destination)
+        stage = f"{destination}.stage-{uuid.uuid4().hex}"
+        self._contents.join(named, ["key", "path"], "left_semi").write.parquet(stage)
+        if not files.rename(place(stage), place(destination)):
+            raise FileExistsError(destination)
+
+
+def cached(sidecars: DataFrame, there: DataFrame, source: str | None = None) -> DataFrame:
+    """Entries that sidecars tell of, all or those of one source, with whether the entry itself is there."""
+    rows = sidecars if source is None else sidecars.where(F.col("source") == source)
+    return rows.join(there.select(F.col("entry").alias("_e")).distinct(), F.col("entry") == F.col("_e"), "left").withColumn("present", F.col("_e").isNotNull()).drop("_e")
+
+
+@F.pandas_udf(StringType())
+def bounded(values: pd.Series) -> pd.Series:
+    """A JSON text cut down to what a record may hold: five levels, 24 items each, keys of 80 and texts of 240 characters;
+    a text that is no JSON counts as a text."""
+
+    def cut(x, left: int = 4):
+        if left < 0:
+            return "<truncated>"
+        if isinstance(x, str):
+            return x[:240]
+        if isinstance(x, list):
+            return [cut(y, left - 1) for y in x[:24]]
+        if isinstance(x, dict):
+            return {k[:80]: cut(y, left - 1) for k, y in list(x.items())[:24]}
+        return x
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = text
+        return json.dumps(cut(value), separators=(",", ":"), ensure_ascii=False)
+
+    return values.map(one)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import time
+import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..codecs import codec
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, measured: list[str], named: list[str]) -> DataFrame:
     """New rows over old ones, field by field: a measured field that is NULL, or a named one that is NULL, 0 or empty,
@@ -50,3 +59,46 @@ def probe_points(probes: DataFrame, text: str) -> DataFrame:
     pairs = F.coalesce(pairs, F.transform("s.points", lambda p: F.struct(p["G"].alias("g"), p["timeMs"].alias("ms"))))
     good = F.when(F.col("side_by_side"), F.coalesce(F.col("s.error"), F.lit("")) == "").otherwise(F.coalesce(F.col("s.S"), F.lit(0)) != 0)
     return rows.where(good).select(F.col("s.name").alias("shape"), F.col("s.T").alias("threads"), F.col("s.S").alias("shared"), F.explode(pairs).alias("p")).select("shape", "threads", "shared", "p.*")
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """Write a profile as JSON lines beside ``path`` and put it there as a whole."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stage = f"{path}.stage-{uuid.uuid4().hex}"
+    rows.write.json(stage)
+    if files.exists(place(path)):
+        files.delete(place(path), True)
+    if not files.rename(place(stage), place(path)):
+        raise OSError(f"{path} could not be replaced")
+
+
+def load(spark: SparkSession, path: str, schema: str, own: str) -> DataFrame:
+    """A saved profile, empty if it was measured on a machine with another fingerprint."""
+    return spark.read.schema(schema).json(path).where(F.col("fingerprint") == own)
+
+
+def measure(spark: SparkSession, name: str, size: int = 1 << 20, repeats: int = 5, threads: tuple[int, ...] = (1, 2), **options: int) -> DataFrame:
+    """(codec, threads, what, rate): bytes a second of a coder on the executors, a row for each repeat; best_threads() sums up.
+
+    The sample is a hash stream over a few words, so it packs like text, and is the same everywhere.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [hashlib.sha256(bytes([i])).digest()[: 3 + i % 9] for i in range(200)]
+        plain = b" ".join(words[b % 200] for i in range(-(-size // 32) // 2 + 1) for b in hashlib.sha256(str(i).encode()).digest())[:size]
+        own = codec(name, **options)
+        coded = own.encode(plain)
+        for b in batches:
+            for n in b.column(0).to_pylist():
+                out = []
+                for what, f, x in (("encode", own.encode, plain), ("decode", own.decode, coded)):
+                    with ThreadPoolExecutor(n) as pool:
+                        at = time.perf_counter()
+                        list(pool.map(f, [x] * n))
+                        out.append((name, n, what, n * len(plain) / max(time.perf_counter() - at, 1e-9)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["codec", "threads", "what", "rate"])
+
+    asked = spark.createDataFrame([(n,) for n in threads for _ in range(repeats)], "threads long")
+    return asked.mapInArrow(run, "codec string, threads long, what string, rate double")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], object]]:
+    """Jobs started in here can be cancelled from any thread by the function that it gives."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield lambda: context.cancelJobsWithTag(tag)
+    finally:
+        context.removeJobTag(tag)

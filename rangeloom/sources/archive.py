@@ -9,20 +9,28 @@ chunks into reads of about ``target`` bytes, and makes a partition of each group
 from __future__ import annotations
 
 import json
+import os
 import struct
+import sys
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType
 
+from ..operators.folds import coalesced
 from ..operators.ranges import fixed_chunks
 
 MAGIC, TAIL, VERSION = b"RLOOMARC", b"RLOOMTAI", 1
-HEAD, FOOT = struct.Struct("<8sI"), struct.Struct("<QQ8s")
+HEAD, FOOT = "<8sI", "<QQ8s"
 CHUNK, TARGET = 4 << 20, 4 << 20
 OPTIONS = {"level", "chunk"}
 #: First bytes of a Zstandard frame.
@@ -33,61 +41,85 @@ class CorruptArchive(ValueError):
     pass
 
 
-def encode(members: list[tuple[str, bytes]], path: str, **options) -> dict:
-    """Write members to a new container; an option that is not declared is an error. Returns the index."""
+def encode(members: Iterable[tuple[str, bytes]], path: str, **options) -> dict:
+    """Write members, one at a time, to a new container; an option that is not declared is an error. Returns the index."""
     unknown = set(options) - OPTIONS
     if unknown:
         raise ValueError(f"options {sorted(unknown)} are not declared; there are {sorted(OPTIONS)}")
     level, chunk = int(options.get("level", 1)), int(options.get("chunk", CHUNK))
-    if len({name for name, _ in members}) != len(members):
-        raise ValueError("member names repeat")
-    rows, names, dst = [], [], 0
-    with open(path, "xb") as f:
-        f.write(HEAD.pack(MAGIC, VERSION))
-        for name, data in members:
-            names.append({"path": name, "size": len(data), "dst": dst})
-            for at in range(0, len(data), chunk):
-                plain = data[at : at + chunk]
-                coded = zlib.compress(plain, level)
-                rows.append([f.tell(), len(coded), dst + at, len(plain), zlib.crc32(plain)])
-                f.write(coded)
-            dst += len(data)
-        index = {"chunks": rows, "members": names, "plain": dst}
-        body, at = zlib.compress(json.dumps(index, sort_keys=True, separators=(",", ":")).encode()), f.tell()
-        f.write(body + FOOT.pack(at, len(body), TAIL))
+    rows, names, seen, dst = [], [], set(), 0
+    try:
+        with open(path, "xb") as f:
+            f.write(struct.pack(HEAD, MAGIC, VERSION))
+            for name, data in members:
+                if name in seen:
+                    raise ValueError("member names repeat")
+                seen.add(name)
+                names.append({"path": name, "size": len(data), "dst": dst})
+                for at in range(0, len(data), chunk):
+                    plain = data[at : at + chunk]
+                    coded = zlib.compress(plain, level)
+                    rows.append([f.tell(), len(coded), dst + at, len(plain), zlib.crc32(plain)])
+                    f.write(coded)
+                dst += len(data)
+            index = {"chunks": rows, "members": names, "plain": dst}
+            body, at = zlib.compress(json.dumps(index, sort_keys=True, separators=(",", ":")).encode()), f.tell()
+            f.write(body + struct.pack(FOOT, at, len(body), TAIL))
+    except ValueError:
+        os.unlink(path)
+        raise
     return index
 
 
+def expand(path: str, member: str | None, out: str, overwrite: bool = False) -> int:
+    """A member, or all, of a container as a plain file, chunk by chunk; an existing file is refused. Returns its bytes."""
+    index = read_index(path)
+    lo, hi = 0, index["plain"]
+    if member is not None:
+        own = next((m for m in index["members"] if m["path"] == member), None)
+        if own is None:
+            raise KeyError(f"no member {member}")
+        lo, hi = own["dst"], own["dst"] + own["size"]
+    reader = ArchiveReader({"path": path, "start": str(lo), "end": str(hi)})
+    with open(out, "wb" if overwrite else "xb") as f:
+        for part in reader.partitions():
+            for _, _, _, plain in reader.read(part):
+                f.write(plain)
+    return hi - lo
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of any store that Arrow reads by its address, or of this machine."""
+    files, place = (pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path))
+    return files.open_input_file(place)
+
+
 def is_archive(path: str) -> bool:
-    with open(path, "rb") as f:
+    with opened(path) as f:
         return f.read(len(MAGIC)) == MAGIC
 
 
 def read_index(path: str) -> dict:
-    with open(path, "rb") as f:
-        size = f.seek(0, 2)
-        if size < HEAD.size + FOOT.size:
+    with opened(path) as f:
+        size = f.size()
+        if size < struct.calcsize(HEAD) + struct.calcsize(FOOT):
             raise CorruptArchive(f"{path}: too short")
         f.seek(0)
-        magic, version = HEAD.unpack(f.read(HEAD.size))
-        f.seek(size - FOOT.size)
-        at, n, tail = FOOT.unpack(f.read(FOOT.size))
-        if magic != MAGIC or tail != TAIL or version != VERSION or at + n + FOOT.size != size:
+        magic, version = struct.unpack(HEAD, f.read(struct.calcsize(HEAD)))
+        f.seek(size - struct.calcsize(FOOT))
+        at, n, tail = struct.unpack(FOOT, f.read(struct.calcsize(FOOT)))
+        if magic != MAGIC or tail != TAIL or version != VERSION or at + n + struct.calcsize(FOOT) != size:
             raise CorruptArchive(f"{path}: not a container of version {VERSION}")
         f.seek(at)
         return json.loads(zlib.decompress(f.read(n)))
 
 
 def runs(chunks: list[list[int]], target: int) -> list[list[list[int]]]:
-    """Neighbouring chunks, about ``target`` coded bytes at a time."""
-    out: list[list[list[int]]] = []
-    size = target
-    for c in chunks:
-        if size >= target or c[0] != out[-1][-1][0] + out[-1][-1][1]:
-            out.append([])
-            size = 0
-        out[-1].append(c)
-        size += c[1]
+    """Chunks that one read takes together, by the rule of coalesce_runs()."""
+    out, at = [], 0
+    for _, _, _, _, n in coalesced(((c[0], c[1]) for c in chunks), target):
+        out.append(chunks[at : at + n])
+        at += n
     return out
 
 
@@ -113,7 +145,7 @@ class ArchiveReader(DataSourceReader):
         if not partition.chunks:
             return
         first, last = partition.chunks[0], partition.chunks[-1]
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             f.seek(first[0])
             payload = f.read(last[0] + last[1] - first[0])
         for off, clen, dst, rlen, crc in partition.chunks:
@@ -124,8 +156,52 @@ class ArchiveReader(DataSourceReader):
             yield off, clen, lo, plain[lo - dst : hi - dst]
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    path: str
+    members: int
+    plain: int
+
+
+class ArchiveWriter(DataSourceWriter):
+    """A folder with a container of each task's rows (path, content); names must differ. Containers appear when all tasks are
+    done, and what a failed job left goes."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.folder, self.options = options["path"], {k: options[k] for k in OPTIONS if k in options}
+        unknown = set(options) - OPTIONS - {"path"}
+        if unknown:
+            raise ValueError(f"options {sorted(unknown)} are not declared; there are {sorted(OPTIONS)}")
+        if os.path.isdir(self.folder) and any(n.endswith(".rloom") for n in os.listdir(self.folder)) and not overwrite:
+            raise FileExistsError(f"{self.folder} has containers already")
+        self.overwrite = overwrite
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        os.makedirs(self.folder, exist_ok=True)
+        path = os.path.join(self.folder, f"part-{uuid.uuid4().hex}.rloom.part")
+        index = encode(((r["path"], bytes(r["content"])) for r in iterator), path, **self.options)
+        return _Written(path, len(index["members"]), index["plain"])
+
+    def commit(self, messages: list) -> None:
+        if self.overwrite:
+            for n in os.listdir(self.folder):
+                if n.endswith(".rloom"):
+                    os.unlink(os.path.join(self.folder, n))
+        for m in messages:
+            if m is not None and m.members:
+                os.rename(m.path, m.path.removesuffix(".part"))
+            elif m is not None:
+                os.unlink(m.path)
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.unlink(m.path)
+
+
 class ArchiveSource(DataSource):
-    """spark.read.format("rangeloom_archive").option("start", a).option("end", b).load(path)"""
+    """spark.read.format("rangeloom_archive").option("start", a).option("end", b).load(path), and
+    df.select("path", "content").write.format("rangeloom_archive").mode("append").save(folder) on a folder that all share."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,6 +213,9 @@ class ArchiveSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return ArchiveReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ArchiveWriter(self.options, overwrite)
+
 
 def plain_chunks(rows: DataFrame, key: str, content: str, chunk: int = CHUNK) -> DataFrame:
     """(key, dst, rlen, crc, content): the contents in pieces of ``chunk`` bytes, with the checksum of each."""
@@ -182,3 +261,7 @@ def index_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     index = read_index(path)
     chunks = spark.createDataFrame(index["chunks"], "off long, clen long, dst long, rlen long, crc long")
     return chunks, spark.createDataFrame([(m["path"], m["size"], m["dst"]) for m in index["members"]], "path string, size long, dst long")
+
+
+# Tasks get this module by value: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,9 +6,15 @@ address, so no range is compared with all extents of its file; what a read gives
 
 from __future__ import annotations
 
+import hmac
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import FOR_STRUCTURE, hkdf
 from ..functions.sealing import open_sealed, seal
 
 TAG = 16
@@ -43,3 +49,36 @@ def read(stored: DataFrame, keys: DataFrame, ranges: DataFrame, tile: int = 1 <<
 
 def stored_length(length: Column, clear: Column) -> Column:
     return F.when(clear, length).otherwise(length + TAG)
+
+
+def structure_mac(stored: DataFrame, key: bytes) -> DataFrame:
+    """(file, mac): HMAC over the clear bytes of a file in order, and then its extent table, so that nothing outside the
+    sealed extents can be changed or moved. Rows of a file pass once, in order; the state is one HMAC."""
+    own = hkdf(key, b"", FOR_STRUCTURE)
+    clear = stored.where("clear").select("file", F.lit(0).alias("part"), "ord", F.col("stored").alias("data"))
+    row = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in (F.col("start"), F.col("len"), F.octet_length("stored").cast("long"))], F.when(F.col("clear"), F.lit(b"\x00")).otherwise(F.lit(b"\x01")))
+    rows = clear.unionByName(stored.select("file", F.lit(1).alias("part"), "ord", row.alias("data")))
+    kind = dict(stored.dtypes)["file"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema: list[pa.DataType] = []
+
+        def stream() -> Iterator[tuple]:
+            for b in batches:
+                schema[:] = [b.schema.types[0]]
+                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+
+        for file, own_rows in groupby(stream(), key=lambda r: r[0]):
+            mac = hmac.new(own, digestmod="sha256")
+            for _, data in own_rows:
+                mac.update(data)
+            yield pa.RecordBatch.from_arrays([pa.array([file], schema[0]), pa.array([mac.hexdigest()])], ["file", "mac"])
+
+    ordered = rows.repartition("file").sortWithinPartitions("file", "part", "ord").select("file", "data")
+    return ordered.mapInArrow(run, f"file {kind}, mac string")
+
+
+def altered(stored: DataFrame, declared: DataFrame, key: bytes) -> DataFrame:
+    """(code, path, detail) of files whose structure does not have the declared MAC."""
+    rows = declared.select("file", F.col("mac").alias("_m")).join(structure_mac(stored, key), "file", "left")
+    return rows.where(~F.coalesce(F.col("mac") == F.col("_m"), F.lit(False))).select(F.lit("structure").alias("code"), F.col("file").cast("string").alias("path"), F.col("mac").alias("detail"))
