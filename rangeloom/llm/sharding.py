@@ -37,7 +37,7 @@ def _size(text: str):
 
 def scatter(df: DataFrame, buckets: int, per_bucket: int, key: str, seed: int, into: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with its bucket, and the records of each bucket counted from keys alone."""
-    cold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets))
+    cold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int")
     hot = df.groupBy(key).count().where(F.col("count") > per_bucket).select(F.col(key).alias("hot_key"))
     n_hot = hot.count()
     if not n_hot:
@@ -48,7 +48,7 @@ def scatter(df: DataFrame, buckets: int, per_bucket: int, key: str, seed: int, i
     n, copy = spare(df, "n_copies"), spare(df, "copy")
     rows = df.join(hot, same, "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias(n))
     rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
-    rows = rows.withColumn(into, F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns], F.col(copy)), F.lit(buckets))).drop(n, copy)
+    rows = rows.withColumn(into, F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns], F.col(copy)), F.lit(buckets)).cast("int")).drop(n, copy)
     dealt = df.join(hot, same, "left_anti").withColumn(into, cold).unionByName(rows)
     return dealt, dealt.groupBy(into).count()
 
@@ -65,7 +65,9 @@ def external_shuffle(df: DataFrame, n_shards: int = SHARDS, key: str = "doc_id",
     dealt, counts = scatter(df, buckets, per_bucket, key, seed, b)
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(b, F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias(start))  # a row for each bucket
-    packed = dealt.repartition(min(buckets, MAX_PARTITIONS), b).groupBy(b).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [key, *[c for c in df.columns if c != key]]]))).alias(row))
+    # A bucket is a partition, so a task holds one; by hash several would meet in some.
+    parts = min(buckets, MAX_PARTITIONS)
+    packed = dealt.repartitionById(parts, F.pmod(F.col(b), F.lit(parts))).groupBy(b).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [key, *[c for c in df.columns if c != key]]]))).alias(row))
     mixed = packed.sortWithinPartitions(b).select(b, F.posexplode(F.shuffle(row, F.lit(seed))).alias(pos, row))
     mixed = mixed.join(starts, b).withColumn(place, F.col(start) + F.col(pos))
     size, shard, slot = (spare(df, x) for x in ("size", "shard", "slot"))
