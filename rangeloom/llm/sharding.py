@@ -66,8 +66,7 @@ def external_shuffle(df: DataFrame, n_shards: int = SHARDS, key: str = "doc_id",
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(b, F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias(start))  # a row for each bucket
     # A bucket is a partition, so a task holds one; by hash several would meet in some.
-    parts = min(buckets, MAX_PARTITIONS)
-    packed = dealt.repartitionById(parts, F.pmod(F.col(b), F.lit(parts))).groupBy(b).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [key, *[c for c in df.columns if c != key]]]))).alias(row))
+    packed = dealt.repartitionById(min(buckets, MAX_PARTITIONS), F.col(b)).groupBy(b).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [key, *[c for c in df.columns if c != key]]]))).alias(row))
     mixed = packed.sortWithinPartitions(b).select(b, F.posexplode(F.shuffle(row, F.lit(seed))).alias(pos, row))
     mixed = mixed.join(starts, b).withColumn(place, F.col(start) + F.col(pos))
     size, shard, slot = (spare(df, x) for x in ("size", "shard", "slot"))
