@@ -14,6 +14,7 @@ from .operators import bundle, campaign, events, folds, ranges, staircase, tenso
 from .plans import cost, gate
 from .registry import ORACLE_SQL, QUERIES, query
 from .session import cut, table
+from .sources import archive
 
 CHUNK = 4096
 
@@ -248,9 +249,11 @@ def route_costs(spark, d):
 
 
 @query(f"""WITH {CASES}, {READ}, s AS (SELECT case_id, 'plain' AS route, CASE WHEN src IS NULL OR src = 0 THEN 'unknown' ELSE 'read' END AS limited_by FROM cases
-UNION ALL SELECT case_id, 'coded', CASE WHEN u.c IS NULL THEN 'unknown' WHEN de > rd + coalesce(dc, 0) THEN 'decode' WHEN coalesce(dc, 0) > rd THEN 'decrypt' ELSE 'read' END FROM r JOIN u USING (case_id) WHERE coded IS NOT NULL) SELECT * FROM s""")
+UNION ALL SELECT case_id, 'coded', CASE WHEN u.c IS NULL THEN 'unknown' WHEN de > rd + coalesce(dc, 0) THEN 'decode' WHEN coalesce(dc, 0) > rd THEN 'decrypt' ELSE 'read' END FROM r JOIN u USING (case_id) WHERE coded IS NOT NULL
+UNION ALL SELECT case_id, 'expand', CASE WHEN a IS NULL OR b IS NULL OR w IS NULL OR z IS NULL THEN 'unknown' WHEN a >= b AND a >= w AND a >= z THEN 'read' WHEN b >= w AND b >= z THEN 'decode' WHEN w >= z THEN 'write' ELSE 'reread' END
+ FROM (SELECT case_id, coded / nullif(src, 0) AS a, plain / nullif(decode, 0) AS b, plain / nullif(sink, 0) AS w, plain / nullif(src, 0) AS z FROM cases WHERE coded IS NOT NULL AND sink <> 0)) SELECT * FROM s""")
 def route_limits(spark, d):
-    return cost.routes(cost.read_stages(_cases(spark, d))).where("route <> 'expand'").select("case_id", "route", "limited_by")
+    return cost.routes(cost.read_stages(_cases(spark, d))).select("case_id", "route", "limited_by")
 
 
 SEALED = "w AS (SELECT case_id, plain, CAST(trunc(plain * 0.67) AS BIGINT) AS cd, sink, encode, 1 / (1 / nullif(src, 0) + 1 / nullif(sink, 0) + 1 / nullif(decrypt, 0)) AS seal FROM cases)"
@@ -566,11 +569,22 @@ def version_check(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.version_allowed(v, F.lit(">=10, <40.5")).alias("allowed"))
 
 
-@query("SELECT doc_id, off, len, sha256(text[off + 1 : off + len]) AS digest FROM (SELECT doc_id, text, t, unnest(range(0, t, 1000)) AS off, least(1000, t - unnest(range(0, t, 1000))) AS len FROM (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS t FROM documents WHERE text IS NOT NULL))")
+@query("SELECT doc_id, off, least(1000, t - off) AS len, sha256(unhex(substr(hex(encode(text)), 2 * off + 1, 2 * least(1000, t - off)))) AS digest FROM (SELECT doc_id, text, t, unnest(range(0, t, 1000)) AS off FROM (SELECT doc_id, text, CAST(strlen(text) AS BIGINT) AS t FROM documents WHERE text IS NOT NULL))")
 def range_reads(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.length("text").cast("long").alias("t"))
-    rows = t.select("doc_id", "text", F.inline(ranges.fixed_chunks(F.col("t"), 1000)))
-    return rows.select("doc_id", "off", "len", F.sha2(F.substring("text", F.col("off").cast("int") + 1, F.col("len").cast("int")).cast("binary"), 256).alias("digest"))
+    """Bytes of ranges, wherever they cut characters."""
+    rows = archive.plain_chunks(table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content")), "doc_id", "content", 1000)
+    return rows.select("doc_id", F.col("dst").alias("off"), F.col("rlen").alias("len"), F.sha2("content", 256).alias("digest"))
+
+
+COMPONENT_OF = "CASE " + " ".join(f"WHEN contains(n, '{a}') THEN '{b}'" for a, b in tensors.COMPONENTS) + " END"
+NAMES = "'model.layers.' || p_partkey || '.' || CASE p_size % 12 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(tensors.COMPONENTS)) + " WHEN 10 THEN 'q_norm.v_proj' ELSE 'bias' END"
+
+
+@query(f"WITH x AS (SELECT {NAMES} AS n, CAST(p_size AS BIGINT) AS b FROM part) SELECT {COMPONENT_OF} AS component, count(*) AS n, CAST(sum(b) AS BIGINT) AS bytes FROM x GROUP BY 1")
+def component_names(spark, d):
+    """Tensors by component; the first rule that a name matches counts, and what matches none stays."""
+    x = table(spark, d, "part").select(F.expr(NAMES).alias("n"), F.col("p_size").cast("long").alias("b"))
+    return x.groupBy(tensors.component(F.col("n")).alias("component")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("bytes"))
 
 
 # Constraints: customers depend on nations, nations on regions
