@@ -24,7 +24,7 @@ null component; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -42,7 +42,7 @@ N, THRESHOLD, FRAGMENTS = 4, Fraction(85, 100), 4
 SLOT_BITS, PIECE_BITS = 22, 16
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Bytes of words whose hashes a task remembers.
-KNOWN_BYTES = 48 << 20
+KNOWN_BYTES = 24 << 20
 #: Bits of the bitmaps of ids and of shingles that pass before rows move; both of fixed size. Beyond MOST_KEYS keys they
 #: would let most rows pass, and a semi join by shuffle does it.
 ID_BITS, TOKEN_BITS, MOST_KEYS = 24, 26, 1 << 24
@@ -153,25 +153,21 @@ def least_overlap(a, b, t: Fraction = THRESHOLD):
     return F.ceil((a + b) * t.numerator / F.lit(float(t.numerator + t.denominator)) - 1e-9)
 
 
-def _only(rows: DataFrame, keys: DataFrame, bits: int, shape: str) -> DataFrame:
-    """Rows whose first column may be among the keys, by a bitmap of fixed size; others go before they are moved."""
+def _sieve(rows: DataFrame, keys: DataFrame, bits: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """Rows, and a function over their batches that leaves those whose first column may be among the keys, by a bitmap of
+    fixed size; so others go before they are worked on or moved."""
     first, name = rows.columns[0], keys.columns[0]
     keys = keys.distinct()
     if keys.count() > MOST_KEYS:
-        return rows.join(keys.select(F.col(name).alias("_key")), F.col(first) == F.col("_key"), "left_semi")
+        return rows.join(keys.select(F.col(name).alias("_key")), F.col(first) == F.col("_key"), "left_semi"), lambda b: b
     sent = rows.sparkSession.sparkContext.broadcast(bitmap(keys, bits))
+    return rows, lambda b: b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy().view(np.uint64))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(in_bitmap(sent.value, b.column(0).to_numpy().view(np.uint64))))
-
-    return rows.mapInArrow(lean(run), shape)
 
-
-def _wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(h, id, t) of documents that may be among the ids, without a shuffle of texts."""
+def _wanted_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """_sieve() of rows (h, id, t) of documents that may be among the ids, without a shuffle of texts."""
     rows = docs.where(F.col(key).isNotNull()).select(F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return _only(rows, ids.select(F.xxhash64("id").alias("h")), ID_BITS, "h long, id long, t string").select("id", "t")
+    return _sieve(rows, ids.select(F.xxhash64("id").alias("h")), ID_BITS)
 
 
 def prefix_bound(a, b, t: Fraction):
@@ -183,14 +179,15 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     """Components (node, root) over representatives, from verified links only."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
     num, den = t.numerator, t.denominator
+    rows, wanted = _wanted_texts(docs, reps, key, text)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
-        for b in batches:
-            for lo, many in slices(b.column(1), ROWS, BYTES):
+        for b in map(wanted, batches):
+            for lo, many in slices(b.column(2), ROWS, BYTES):
                 part = b.slice(lo, many)
                 ids, sizes, token = [], [], []
-                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for i, x in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                     h = in_order(hasher.shingles(x.as_py()), sent.value)
                     p = h[: len(h) - -(-len(h) * num // den) + 1] if len(h) else h
                     ids.append(np.full(len(p), i, np.int64))
@@ -198,10 +195,11 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
                     token.append(p.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, ids, sizes)], ["token", "id", "n"])
 
-    tokens = keep(_wanted_texts(docs, reps, key, text).mapInArrow(lean(prefixes), "token long, id long, n int"), "prefixes")
+    tokens = keep(rows.mapInArrow(lean(prefixes), "token long, id long, n int"), "prefixes")
     # A shingle that only one representative has in its prefix makes no pair: most rows go before they are moved.
     heads = keep(tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("token"), "prefix-tokens")
-    many = _only(tokens, heads, TOKEN_BITS, "token long, id long, n int").join(heads, "token", "left_semi")
+    few, may = _sieve(tokens, heads, TOKEN_BITS)
+    many = few.mapInArrow(lean(lambda batches: map(may, batches)), "token long, id long, n int").join(heads, "token", "left_semi")
     many = keep(many.groupBy("token", "id").agg(F.max("n").alias("n")), "prefix-many")  # repeated rows count once
     # m bounds the overlap of a document with any that it could link with.
     alone = F.greatest(F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1 - F.count(F.lit(1)), F.lit(0))
@@ -249,16 +247,16 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
 def verify(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS) -> DataFrame:
     """Pairs whose overlap, counted in each fragment of the global order and summed, reaches the threshold."""
     pairs = keep(pairs, "jaccard-pairs")
-    rows = _wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
+    rows, wanted = _wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order = Hasher(n), Fragments(sent.value, fragments)
-        for b in batches:
-            for lo, many in slices(b.column(1), ROWS, BYTES):
+        for b in map(wanted, batches):
+            for lo, many in slices(b.column(2), ROWS, BYTES):
                 part = b.slice(lo, many)
                 out: dict[str, list] = {"id": [], "frag": [], "n": [], "seg": []}
-                for i, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for i, x in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                     h = hasher.shingles(x.as_py())
                     frag = order.of(h)
                     for f in range(fragments):
