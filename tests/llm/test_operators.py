@@ -652,3 +652,77 @@ def test_native_plans_have_no_python(spark, hard):
 
 def test_schema_of_fixture():
     assert SCHEMA.startswith("doc_id")
+
+
+# Very long texts, ties and repeats
+
+def test_repeats_over_the_parts_of_long_texts(spark):
+    """Texts longer than a part, with repeats across its border, in periods, and in single windows."""
+    rng = random.Random(11)
+    assert repeats.PART == 1 << 18
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    shared = noise(1500)
+    one = noise(repeats.PART - 700) + shared + noise(2000) + "xy" * 300 + noise(500)
+    two = noise(100) + shared[100:900] + noise(100) + one[5000:5200] + noise(50)
+    rows = [(1, one), (2, two), (3, noise(300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = repeated(df)
+    assert got == brute_repeats(rows) and {x[0]: x[3] for x in got}[1] >= 3
+
+
+def test_long_texts_of_pieces_and_languages(spark):
+    text = "漢字仮名交じり文" * 6000 + " end"
+    assert len(text) > sentencepiece_ffbs.PART
+    df = spark.createDataFrame([(1, text), (2, "x" * 40_000)], "doc_id long, text string")
+    got = sentencepiece_ffbs.decode(sentencepiece_ffbs.encode(df)).collect()
+    assert all(r["decoded"] == r["text"] for r in got)
+    names, p = language_id.fit(spark.createDataFrame([("the of and to", "en"), ("漢字 仮名", "ja")], "text string, lang string"))
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, names, p).collect()}[1] == "ja"
+
+
+def test_short_items_where_parts_of_a_text_meet():
+    """A word cut in two by parts is no item, and one that stands there is found once."""
+    index = decontaminate.Index([(1, b"yes")])
+    half = decontaminate.BUFFER
+    for at in (half - 2, half - 1, half, half + 98, half + 100, half + 199):
+        for word, want in ((" yes ", 1), ("eyes ", 0), (" yest", 0)):
+            text = "-" * at + word + "-" * 3000
+            places_of = []
+            for buffer, places in decontaminate.parts_of(pa.array([text])):
+                for item, start, end in index.search_short(buffer):
+                    begin, stop, _, lo, final = [x for x in places if x[0] < end][-1]
+                    if end <= stop and (not lo or start - begin >= 100) and (final or start - begin < half + 100):
+                        places_of.append(lo + start - begin)
+            assert places_of == [at + 1] * want
+
+
+def test_nearest_repeated_ids_and_lengths(spark):
+    """An id with several vectors counts with the best, is never its own neighbour, and other lengths take no part."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.1]), (5, None), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in nearest.search(df, lambda i: i == 0).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 2), (3, 4)]
+
+
+def test_ties_of_templates(spark):
+    """Templates that a block holds alike all count, and the score is that of the best."""
+    rows = [(1, "licensed under cc by 4 0"), (2, "licensed under cc by nc 4 0")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("cc-by,cc-by-nc-4.0,cc-by-sa-4.0", 1.0), 2: ("cc-by,cc-by-nc-4.0,cc-by-sa-4.0", 1.0)}
+    found = {(r["doc_id"], r["label"]): r["shared"] / r["size"] for r in license_scan.template_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(1, "cc-by-nc-4.0"): 6 / 7, (1, "cc-by-sa-4.0"): 6 / 7, (2, "cc-by-nc-4.0"): 1.0, (2, "cc-by-sa-4.0"): 6 / 7}
+
+
+def test_large_group_around_the_threshold(spark):
+    """Copies of one text with 0 to 12 changed words each: some link, some don't, and no link between unlike texts is lost."""
+    rng = random.Random(21)
+    base = prose(rng, 110).split()
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 3, 4, 6, 12])):
+            w[rng.randrange(len(w))] = f"own{rng.randrange(10**9)}"
+        rows.append((1000 - i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_groups(rows, 4, Fraction(85, 100))
+    assert got == want and 3 < len({c for _, c in want.values()}) < 150
