@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .functions import planes, sealing, text as tx
+from .functions import planes, sealing, text as tx, wire
 from .operators import bundle, manifest, ranges
 from .registry import query
 from .session import table
@@ -374,3 +374,37 @@ def structure_checks(spark, d):
     moved = stored.withColumn("start", F.when((F.col("file") % 10 == 0) & (F.col("ord") == 0), F.col("start") + 1).otherwise(F.col("start")))
     changed = moved.withColumn("stored", F.when((F.col("file") % 10 == 5) & (F.col("ord") == 0), F.concat(F.lit(b"\0"), F.expr("substring(stored, 2)"))).otherwise(F.col("stored")))
     return sealed.altered(changed, declared, key).select(F.col("path").cast("long").alias("file"), "code")
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 5 <> 4 THEN 3 END AS BIGINT) AS fields, CASE WHEN page_id % 5 <> 4 THEN page_id * 200 END AS first, CASE WHEN page_id % 5 <> 4 THEN CAST(strlen(url) AS BIGINT) END AS length FROM pages")
+def message_fields(spark, d):
+    """Fields of messages: a number, a text and four fixed bytes; one that is cut short has none."""
+    n = F.col("page_id") * 200
+    digit = lambda i, more: F.unhex(F.lpad(F.hex((F.shiftright(n, 7 * i).bitwiseAND(F.lit(127)) + more)), 2, "0"))
+    whole = F.concat(F.lit(b"\x08"), digit(0, 128), digit(1, 128), digit(2, 0))
+    size = F.octet_length("url")
+    text = F.concat(F.lit(b"\x12"), F.unhex(F.lpad(F.hex(size % 128 + 128), 2, "0")), F.unhex(F.lpad(F.hex(F.floor(size / 128)), 2, "0")), F.col("url").cast("binary"))
+    message = F.concat(whole, text, F.lit(b"\x1d\0\0\0\0"))
+    given = F.when(F.col("page_id") % 5 == 4, F.substring(message, 1, 6)).otherwise(message)
+    f = table(spark, d, "pages").select("page_id", wire.wire_fields(given).alias("f"))
+    return f.select("page_id", F.when(F.col("f").isNotNull(), F.size("f")).cast("long").alias("fields"), F.col("f")[0]["value"].alias("first"), F.octet_length(F.col("f")[1]["data"]).cast("long").alias("length"))
+
+
+@query("""WITH r AS (SELECT p_brand AS k, 'd/' || p_partkey % 40 AS path, CASE p_partkey % 6 WHEN 0 THEN 'odd' ELSE 'config' END AS role, CAST(p_size AS BIGINT) - 3 AS length, CASE WHEN p_partkey % 4 = 0 THEN p_size WHEN p_partkey % 4 = 1 THEN p_size - 3 END AS size, sha256(p_name) AS sha256 FROM part)
+SELECT k, 'provider_result' AS code, path, CAST(length AS VARCHAR) AS detail FROM r WHERE role = 'odd' OR length < 0 OR coalesce(size, length) <> length UNION ALL SELECT k, 'provider_result', path, 'repeated' FROM r GROUP BY k, path HAVING count(*) > 1""")
+def provider_results(spark, d):
+    i = F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("k"), F.concat(F.lit("d/"), i % 40).alias("path"), F.when(i % 6 == 0, "odd").otherwise("config").alias("role"), (F.col("p_size").cast("long") - 3).alias("length"), F.when(i % 4 == 0, F.col("p_size")).when(i % 4 == 1, F.col("p_size") - 3).alias("size"), F.sha2("p_name", 256).alias("sha256"))
+    return manifest.provider_violations(rows, "k")
+
+
+LISTED = "'d' || {folder} || '/' || CASE WHEN page_id % 21 = 0 THEN 'model.safetensors.index.json' ELSE 'f' || page_id || " + SUFFIX + " END"
+
+
+@query(f"""WITH f AS (SELECT 'd' || page_id // 3 AS folder, {LISTED.replace('{folder}', '(page_id // 3)')} AS path FROM pages), r AS (SELECT *, CASE WHEN path LIKE '%.rloom' THEN 0 WHEN path LIKE '%.safetensors' THEN 1 END AS r, path LIKE '%index.json' AS ix FROM f),
+m AS (SELECT *, min(r) OVER (PARTITION BY folder) AS m FROM r), g AS (SELECT folder, bool_or(ix) AS sh, min(path) FILTER (ix) AS i, count(*) FILTER (r = m) AS n, min(path) FILTER (r = m) AS one FROM m GROUP BY folder)
+SELECT folder, CASE WHEN sh THEN 'sharded' WHEN n = 1 THEN 'single' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS kind, CASE WHEN sh THEN i WHEN n = 1 THEN one END AS path FROM g""")
+def open_kinds(spark, d):
+    """How each folder of a listing is opened."""
+    listed = table(spark, d, "pages").select(F.expr(LISTED.replace("{folder}", "(page_id div 3)")).alias("path"))
+    return tensorfile.open_kinds(listed)

@@ -165,3 +165,8 @@ def copied_bytes(spans: DataFrame, start: str, size: str, width: str) -> DataFra
     """One row: tensors and bytes that must be copied as their start is off their element's width, against all."""
     off = (F.col(width) > 1) & (F.col(start) % F.col(width) != 0)
     return spans.agg(F.count_if(off).alias("copied"), F.coalesce(F.sum(F.when(off, F.col(size))), F.lit(0)).cast("long").alias("copied_bytes"), F.count(F.lit(1)).alias("tensors"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+
+
+def write_records(rows: DataFrame, path: str) -> None:
+    """A campaign's rows as JSON lines, appended to those that are there; NULL fields are written, so that none is missed."""
+    rows.write.mode("append").option("ignoreNullFields", "false").json(path)

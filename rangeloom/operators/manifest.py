@@ -242,3 +242,12 @@ def bounded(values: pd.Series) -> pd.Series:
         return json.dumps(cut(value), separators=(",", ":"), ensure_ascii=False)
 
     return values.map(one)
+
+
+def provider_violations(rows: DataFrame, key: str) -> DataFrame:
+    """(key, code, path, detail) of entries (key, path, role, length, size, sha256) that another program reported: what it
+    says of an entry must agree with itself."""
+    good = path_is_safe(F.col("path")) & F.col("role").isin(*ROLES) & (F.col("length") >= 0) & (F.coalesce("size", "length") == F.col("length")) & digest_is_valid(F.col("sha256"))
+    bad = rows.where(~F.coalesce(good, F.lit(False))).select(key, F.lit("provider_result").alias("code"), "path", F.col("length").cast("string").alias("detail"))
+    again = rows.groupBy(key, "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return bad.unionByName(again.select(key, F.lit("provider_result").alias("code"), "path", F.lit("repeated").alias("detail")))

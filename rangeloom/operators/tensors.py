@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Parts of a tensor's name and its component; the first that matches counts.
 COMPONENTS = (("embed_tokens", "embed_tokens"), ("q_proj", "q_proj"), ("k_proj", "k_proj"), ("v_proj", "v_proj"), ("o_proj", "o_proj"), ("gate_proj", "gate_proj"), ("up_proj", "up_proj"), ("down_proj", "down_proj"), ("norm", "layernorms"), ("lm_head", "lm_head"))
@@ -79,3 +84,15 @@ def numerical_check(rows: DataFrame, reference: DataFrame, key: list[str], value
     """Against a reference run: equal values, largest difference, same text."""
     r = reference.select(*key, F.col(value).alias("_v"), F.col(text).alias("_t"))
     return rows.join(r, key).agg(F.bool_and(F.col(value) == F.col("_v")).alias("equal"), F.max(F.abs(F.col(value) - F.col("_v"))).alias("max_abs"), F.bool_and(F.col(text).eqNullSafe(F.col("_t"))).alias("text_match"))
+
+
+@F.pandas_udf(LongType())
+def delta_size(base: pd.Series, other: pd.Series) -> pd.Series:
+    """Bytes that the difference of two tensors' bytes packs to: their exclusive or, deflated."""
+
+    def one(a: bytes | None, b: bytes | None) -> int | None:
+        if a is None or b is None or len(a) != len(b):
+            return None
+        return len(zlib.compress((np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).tobytes(), 1))
+
+    return pd.Series([one(a, b) for a, b in zip(base, other, strict=True)], dtype="Int64")

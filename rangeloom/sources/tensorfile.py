@@ -51,3 +51,15 @@ def pick_files(files: DataFrame, suffixes: tuple[str, ...] = (".rloom", ".safete
     rows = files.withColumn("rank", rank).where("rank is not null").withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     best = rows.groupBy("folder").agg(F.min("rank").alias("rank"))
     return rows.join(best, ["folder", "rank"]).drop("folder", "rank")
+
+
+def open_kinds(files: DataFrame, index: str = "model.safetensors.index.json", suffixes: tuple[str, ...] = (".rloom", ".safetensors")) -> DataFrame:
+    """(folder, kind, path): how each folder of a listing is opened: as shards where an index names them, as its one file
+    where there is one of the first suffix that any has, else not at all."""
+    folder, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.element_at(F.split("path", "/"), -1)
+    every = files.select(folder.alias("folder"), "path", (name == index).alias("is_index"))
+    per = every.groupBy("folder").agg(F.bool_or("is_index").alias("sharded"), F.min(F.when(F.col("is_index"), F.col("path"))).alias("index"))
+    own = pick_files(files, suffixes).select(folder.alias("_f"), "path").groupBy("_f").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("one"))
+    rows = per.join(own, F.col("folder") == F.col("_f"), "left")
+    kind = F.when(F.col("sharded"), "sharded").when(F.col("n") == 1, "single").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return rows.select("folder", kind.alias("kind"), F.when(F.col("sharded"), F.col("index")).when(F.col("n") == 1, F.col("one")).alias("path"))

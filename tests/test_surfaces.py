@@ -225,3 +225,16 @@ def test_cli(tmp_path, capsys):
     assert (tmp_path / "g").read_bytes() == BODY
     assert cli.main(["plan", "1000000000", "670000000", "1GB/s", "10GB/s"]) == 0 and "coded" in capsys.readouterr().out
     assert cli.main(["nothing"]) == 2 and cli.main(["get", out]) == 2
+
+
+def test_delta_sizes_and_records(spark, tmp_path):
+    from rangeloom.operators import tensors
+
+    rows = [(BODY, BODY), (BODY, BODY[:-1] + b"\xff"), (BODY, BODY[::-1]), (BODY, BODY[1:]), (None, BODY)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a binary, b binary").coalesce(1).select(tensors.delta_size("a", "b")).collect()]
+    assert got[0] < got[1] < got[2] and got[3:] == [None, None]
+    path = str(tmp_path / "runs")
+    for i in range(2):
+        campaign.write_records(spark.createDataFrame([(i, None)], "run long, error string"), path)
+    lines = [json.loads(r["value"]) for r in spark.read.text(path).collect()]
+    assert sorted(lines, key=lambda x: x["run"]) == [{"run": 0, "error": None}, {"run": 1, "error": None}]
