@@ -18,9 +18,10 @@ def gate_residency(spark, d):
     return _gate(spark).select("device", "binds", F.col("resident").cast("long").alias("resident"))
 
 
-@query(f"WITH {GATE}, v AS (SELECT device, link, CASE WHEN lo > link_gb_s THEN 'pays' WHEN hi <= link_gb_s THEN 'tax' ELSE 'measure' END AS verdict FROM e, ln) SELECT device, " + ", ".join(f"max(CASE WHEN link = '{x}' THEN verdict END) AS \"{x}\"" for x, _ in gate.LINKS) + " FROM v GROUP BY device")
+@query(f"WITH {GATE}, v AS (SELECT device, link, CASE WHEN lo > link_gb_s THEN 'pays' WHEN hi <= link_gb_s THEN 'tax' ELSE 'measure' END AS verdict FROM e, ln) SELECT device, " + ", ".join(f"max(CASE WHEN link = '{x}' THEN verdict END) AS \"{x.replace('.', '_')}\"" for x, _ in gate.LINKS) + " FROM v GROUP BY device")
 def gate_report(spark, d):
-    return gate.table(gate.verdicts(_gate(spark), gate.links(spark)))
+    out = gate.table(gate.verdicts(_gate(spark), gate.links(spark)))
+    return out.toDF(*[c.replace(".", "_") for c in out.columns])
 
 
 #: Published costs: one in the right unit, one in another, one without k.
