@@ -37,11 +37,12 @@ MARK = "▁"
 UNIT = re.compile(MARK + "| *[^ " + MARK + "]+| +", re.S)
 #: Characters of a unit that is filtered with others, and of a part of a longer one that is looked up at a time.
 SHORT, PART, SEED = 48, 1 << 15, 11
+HALF = re.compile(f"[^ {MARK}]{{{SHORT // 2}}}| {{{SHORT // 2}}}")
 #: Power of the weights: 1 samples by the weights themselves, 0 all paths alike.
 SMOOTHING = 0.5
 UNKNOWN_WEIGHT = 1e-5
 #: Units, and edges of their lattices, that a worker remembers at most; rows and bytes that it samples, and ids that it decodes, at a time.
-CACHED, EDGES, ROWS, BYTES, DECODED = 200_000, 2_500_000, 2000, 2 << 20, 1 << 20
+CACHED, EDGES, ROWS, BYTES, DECODED = 200_000, 4_500_000, 2000, 2 << 20, 1 << 20
 
 
 class Vocabulary:
@@ -246,15 +247,18 @@ def segment(texts: list[str], keys: list, sampler: Sampler, seed: int = SEED) ->
     every = list(chain.from_iterable(units))
     ordinal = np.arange(len(every)) - np.repeat(np.cumsum(n) - n, n)
     stream = _mix(np.repeat(_row_stream(keys, seed), n) + ordinal.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    size = np.fromiter(map(len, every), np.int64, len(every))
-    long = np.flatnonzero(size > SHORT)
-    short = [u for u in every if len(u) <= SHORT] if len(long) else every
+    # Only texts with half a long unit of blanks or of other characters can have one.
+    begin = (np.cumsum(n) - n).tolist()
+    long = np.array([at + j for t, us, at in zip(texts, units, begin, strict=True) if HALF.search(t) for j, u in enumerate(us) if len(u) > SHORT], np.int64)
+    short = every
+    if len(long):
+        rest = np.delete(np.arange(len(every)), long)
+        short = [every[i] for i in rest.tolist()]
     sampler.learn(set(short))
     ends = np.fromiter(map(sampler.known.__getitem__, short), np.int64, len(short))
     if not len(long):
         ids, count = sampler.sample(ends, stream)
     else:
-        rest = np.flatnonzero(size <= SHORT)
         own, few = sampler.sample(ends, stream[rest]) if len(rest) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         count = np.zeros(len(every), np.int64)
         count[rest] = few
