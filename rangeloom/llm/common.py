@@ -49,6 +49,15 @@ def keep(df: DataFrame, name: str, up: int | None = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a written table is worked on in one task.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table as it is, or in one partition if it has FEW rows at most: sums and joins of such need no exchange."""
+    return df.coalesce(1) if df.count() <= FEW else df
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep
+from .common import drop_kept, few, keep
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     taken; loops and repeats go. A hub is a group of a sum with partial sums, never a collected list. The number of
     rounds grows with the logarithm of the longest path, each ends in written tables, and nothing goes to the driver.
     """
-    cut = lambda df: keep(df, "components")
+    cut = lambda df: few(keep(df, "components"))
     edges = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct())
     labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():

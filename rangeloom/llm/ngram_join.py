@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, drop_kept, keep, lean, need, slices, spare, table
+from .common import Remembered, drop_kept, few, keep, lean, need, slices, spare, table
 from .components import components
 from .repeats import _has as in_bitmap
 from .repeats import bitmap
@@ -175,8 +175,8 @@ def prefix_bound(a, b, t: Fraction):
     return least_overlap(a, b, t) - F.ceil(F.greatest(a, b) * t.numerator / F.lit(float(t.denominator)) - 1e-9) + 1
 
 
-def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: str, text: str, n: int = N, t: Fraction = THRESHOLD) -> DataFrame:
-    """Components (node, root) over representatives, from verified links only."""
+def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: str, text: str, n: int = N, t: Fraction = THRESHOLD, repeated: bool = True) -> DataFrame:
+    """Components (node, root) over representatives, from verified links only. repeated: whether ids may repeat."""
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
     num, den = t.numerator, t.denominator
     rows, wanted = _wanted_texts(docs, reps, key, text)
@@ -198,13 +198,13 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     tokens = keep(rows.mapInArrow(lean(prefixes), "token long, id long, n int"), "prefixes")
     # A shingle that only one representative has in its prefix makes no pair: most rows go before they are moved.
     heads = keep(tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("token"), "prefix-tokens")
-    few, may = _sieve(tokens, heads, TOKEN_BITS)
-    many = few.mapInArrow(lean(lambda batches: map(may, batches)), "token long, id long, n int").join(heads, "token", "left_semi")
-    many = keep(many.groupBy("token", "id").agg(F.max("n").alias("n")), "prefix-many")  # repeated rows count once
+    rows, may = _sieve(tokens, heads, TOKEN_BITS)
+    many = rows.mapInArrow(lean(lambda batches: map(may, batches)), "token long, id long, n int").join(heads, "token", "left_semi")
+    many = few(keep(many.groupBy("token", "id").agg(F.max("n").alias("n")), "prefix-many"))  # repeated rows count once
     # m bounds the overlap of a document with any that it could link with.
     alone = F.greatest(F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1 - F.count(F.lit(1)), F.lit(0))
     own = many.groupBy("id", "n").agg((F.col("n") - alone).cast("int").alias("m"))
-    shared = keep(many.join(own.groupBy("id").agg(F.max("m").alias("m")), "id"), "prefix-shared")
+    shared = few(keep(many.join(own.groupBy("id").agg(F.max("m").alias("m")), "id"), "prefix-shared"))
     drop_kept(tokens, heads, many)
     fits = lambda a, b, ma, mb: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num) & (F.least(ma, mb) >= least_overlap(F.col(a), F.col(b), t))
     # Star: each document against the hub that it shares most shingles with. What this misses, the second round finds.
@@ -213,7 +213,7 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     stars = stars.groupBy("a", F.col("id").alias("b"), "na", F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("k"))
     stars = stars.where(2 * F.col("k") >= prefix_bound(F.col("na"), F.col("nb"), t))
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
-    links = verify(docs, stars.select("a", "b"), classes, key, text, n, t)
+    links = verify(docs, stars.select("a", "b"), classes, key, text, n, t, repeated=repeated)
     found = components(links)
     # Second round: only shingles whose holders are in different components can be common to a pair that is left. The
     # component with most holders stays out of one side, so a large group meets only the few others. Among these
@@ -221,11 +221,11 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     # first ``s - least + 1`` of each document; it is made there, not at every shingle that it shares.
     held = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
     mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("holders")).where("low <> high")
-    held = keep(held.join(mixed.select("token", "holders"), "token"), "prefix-mixed")
+    held = few(keep(held.join(mixed.select("token", "holders"), "token"), "prefix-mixed"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("holders", "token"))
     own = held.groupBy("id").agg(F.count(F.lit(1)).alias("s"))
     alone = F.greatest(F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1 - F.col("s"), F.lit(0))
-    ranked = keep(held.withColumn("r", rank).join(own, "id").withColumn("m", F.col("n") - alone), "prefix-ranked")
+    ranked = few(keep(held.withColumn("r", rank).join(own, "id").withColumn("m", F.col("n") - alone), "prefix-ranked"))
     per_root = held.groupBy("token", "root").agg(F.count(F.lit(1)).alias("many"))
     main = per_root.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("main"))
     side = lambda x, rows: rows.select("token", *[F.col(c).alias(c + x) for c in ("id", "n", "m", "r", "s", "root")])
@@ -238,15 +238,15 @@ def jaccard_links(docs: DataFrame, reps: DataFrame, classes: np.ndarray, key: st
     lists = held.groupBy("id").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens"))  # a document's own prefix
     both = pairs.join(lists.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a").join(lists.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
     pairs = both.where(F.size(F.array_intersect("ta", "tb")) >= prefix_bound(F.col("na"), F.col("nb"), t)).select("a", "b")
-    more = verify(docs, pairs, classes, key, text, n, t)
+    more = verify(docs, pairs, classes, key, text, n, t, repeated=repeated)
     out = components(links.select("a", "b").unionByName(more.select("a", "b"))) if not more.isEmpty() else found
     drop_kept(shared, held, ranked, links, more)
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, key: str, text: str, n: int, t: Fraction, fragments: int = FRAGMENTS, repeated: bool = True) -> DataFrame:
     """Pairs whose overlap, counted in each fragment of the global order and summed, reaches the threshold."""
-    pairs = keep(pairs, "jaccard-pairs")
+    pairs = few(keep(pairs, "jaccard-pairs"))
     rows, wanted = _wanted_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), key, text)
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # 2 ** SLOT_BITS bytes
 
@@ -267,17 +267,16 @@ def verify(docs: DataFrame, pairs: DataFrame, classes: np.ndarray, key: str, tex
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("frag", pa.int32()), ("n", pa.int32()), ("seg", pa.list_(pa.int64()))]))
 
     segments = rows.mapInArrow(lean(cut), "id long, frag int, n int, seg array<long>")
-    segments = keep(segments, "jaccard-segments")
-    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
-        one = segments
-    else:  # of repeated ids the largest set stands
+    segments = few(keep(segments, "jaccard-segments"))
+    one = segments
+    if repeated:  # of repeated ids the largest set stands
         one = segments.groupBy("id", "frag").agg(F.max(F.struct("n", "seg")).alias("s")).select("id", "frag", "s.n", "s.seg")
     sa = one.select(F.col("id").alias("a"), "frag", F.col("n").alias("na"), F.col("seg").alias("seg_a"))
     sb = one.select(F.col("id").alias("b"), "frag", F.col("n").alias("nb"), F.col("seg").alias("seg_b"))
     part = pairs.join(sa, "a").join(sb, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("seg_a", "seg_b")).alias("shared"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     union = F.col("na") + F.col("nb") - F.col("shared")
-    out = keep(total.where(F.col("shared") * t.denominator >= union * t.numerator), "jaccard-links")
+    out = few(keep(total.where(F.col("shared") * t.denominator >= union * t.numerator), "jaccard-links"))
     drop_kept(pairs, segments)
     return out
 
@@ -288,12 +287,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     sets, pieces = document_sets(docs, key, text, n)
     classes = frequency_classes(pieces)
     nameless = sets.where("id is null").select(F.col("id").alias(key), "n_shingles", F.col("id").alias("component_id"))
-    sets = sets.where("id is not null").groupBy("id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s")).select("id", "s.*")
+    sets = sets.where("id is not null").groupBy("id").agg(F.max(F.struct("n_shingles", "s1", "s2")).alias("s"), F.count(F.lit(1)).alias("times")).select("id", "times", "s.*")
     full = sets.where("n_shingles > 0")
     reps = keep(full.groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id")), "jaccard-reps")
-    found = jaccard_links(docs, reps.select("id", "n_shingles"), classes, key, text, n, t)
+    found = jaccard_links(docs, reps.select("id", "n_shingles"), classes, key, text, n, t, not sets.where("times > 1").isEmpty())
     roots = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "s1", "s2", F.coalesce("root", "id").alias("r"))
-    out = sets.join(roots, ["n_shingles", "s1", "s2"], "left")
+    out = sets.drop("times").join(roots, ["n_shingles", "s1", "s2"], "left")
     return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("r", "id").alias("component_id")).unionByName(nameless)
 
 

@@ -29,7 +29,6 @@ rows; other columns are not read (spans) or kept (dedup).
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,7 @@ LENGTH, SEED = 200, 16
 #: Offsets from the trigger that make a block of windows.
 BLOCK = 16
 #: Bits of the bitmap of shared cores and of documents with spans; both are of fixed size.
-CORE_BITS, DOC_BITS, PIECE_BITS = 26, 24, 18
+CORE_BITS, DOC_BITS = 26, 24
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -150,36 +149,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size that has the upper bits of every key. Pieces meet by their place, OR-ed on the way."""
-    piece = PIECE_BITS
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << (bits - 3), np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
-        for i in range(1 << max(0, bits - piece)):
-            part = own[i << (piece - 3) : (i + 1) << (piece - 3)]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "part": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
-
-    def join(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (piece - 3), np.uint8)
-        for b in parts:
-            for x in b.column("part"):
-                total |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        yield pa.RecordBatch.from_pydict({"i": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in keys.mapInArrow(lean(mark), "i int, part binary").groupBy("i").applyInArrow(join, "i int, part binary").toLocalIterator():
-        at = r["i"] << (piece - 3)
-        out[at : at + (1 << (piece - 3))] = np.frombuffer(r["part"], np.uint8)
+    """A bitmap of fixed size, in words of 64, that has the upper bits of every key; summed by Spark, a row for a word."""
+    place = F.shiftrightunsigned(keys.columns[0], 64 - bits)
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    got = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("i"), one.alias("m")).groupBy("i").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["i"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
     return out
 
 
-def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - (len(bits).bit_length() + 2))
-    return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+def _has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(words).bit_length() + 5))
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _with_uid(docs: DataFrame, key: str, text: str, rest: list[str] | None = None) -> DataFrame:
