@@ -37,7 +37,7 @@ MARK = "▁"
 SHORT, PART = 48, 1 << 15
 ROUNDS, SMOOTH, FLUSH, BLOCK = 2, 200.0, 400_000, 2048
 #: Bytes of words that a task remembers, and rows and bytes of text that it takes at a time.
-KNOWN_BYTES, ROWS, BYTES = 32 << 20, 256, 2 << 20
+KNOWN_BYTES, ROWS, BYTES = 64 << 20, 256, 2 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -93,22 +93,21 @@ def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def expected(ids: np.ndarray, n: np.ndarray, p: np.ndarray, lang: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
     """Add the expected uses of each piece in words of one language each: into[piece, language]."""
-    own = p[:, lang]  # a column for each word
+    own = p[ids, lang[:, None, None]]
     rows = np.arange(len(n))
     alpha = np.zeros(ids.shape[:2])
     beta = np.zeros(ids.shape[:2])
     alpha[:, 0], beta[rows, n] = 1, 1
     for e in range(1, ids.shape[1]):
         for k in range(min(e, ids.shape[2])):
-            alpha[:, e] += alpha[:, e - k - 1] * own[ids[:, e, k], rows]
+            alpha[:, e] += alpha[:, e - k - 1] * own[:, e, k]
     for e in range(ids.shape[1] - 1, 0, -1):
         for k in range(min(e, ids.shape[2])):
-            beta[:, e - k - 1] += beta[:, e] * own[ids[:, e, k], rows]
+            beta[:, e - k - 1] += beta[:, e] * own[:, e, k]
     scale = weight / np.maximum(alpha[rows, n], 1e-300)
     w, e, k = np.nonzero(ids < p.shape[0] - 1)
-    piece = ids[w, e, k]
-    use = alpha[w, e - k - 1] * own[piece, w] * beta[w, e] * scale[w]
-    into += np.bincount(piece * into.shape[1] + lang[w], use, into.size).reshape(into.shape)
+    use = alpha[w, e - k - 1] * own[w, e, k] * beta[w, e] * scale[w]
+    into += np.bincount(ids[w, e, k] * into.shape[1] + lang[w], use, into.size).reshape(into.shape)
 
 
 def _parts(word: str, name: str, ends: Iterator[tuple[int, int]]) -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
