@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import need, spare, table
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20240613, 16 << 20
-#: Partitions of pass two at most; each then holds several buckets.
-MAX_PARTITIONS = 100_000
+#: Buckets up to this many have a partition each, and their starts (two numbers a bucket: some MB) are broadcast; more
+#: share MAX_PARTITIONS partitions.
+BROADCAST_BUCKETS, MAX_PARTITIONS = 100_000, 100_000
 #: Hot keys up to this many (of 64-bit ids: some MB) are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -65,8 +66,11 @@ def external_shuffle(df: DataFrame, n_shards: int = SHARDS, key: str = "doc_id",
     dealt, counts = scatter(df, buckets, per_bucket, key, seed, b)
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(b, F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long").alias(start))  # a row for each bucket
-    # A bucket is a partition, so a task holds one; by hash several would meet in some.
-    packed = dealt.repartitionById(min(buckets, MAX_PARTITIONS), F.col(b)).groupBy(b).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [key, *[c for c in df.columns if c != key]]]))).alias(row))
+    if buckets <= BROADCAST_BUCKETS:  # a bucket is a partition, so a task holds one; by hash several would meet in some
+        moved, starts = dealt.repartitionById(buckets, F.col(b)), F.broadcast(starts)
+    else:  # rows and starts meet by the same hash, without another shuffle
+        moved = dealt.repartition(MAX_PARTITIONS, b)
+    packed = moved.groupBy(b).agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [key, *[c for c in df.columns if c != key]]]))).alias(row))
     mixed = packed.sortWithinPartitions(b).select(b, F.posexplode(F.shuffle(row, F.lit(seed))).alias(pos, row))
     mixed = mixed.join(starts, b).withColumn(place, F.col(start) + F.col(pos))
     size, shard, slot = (spare(df, x) for x in ("size", "shard", "slot"))
