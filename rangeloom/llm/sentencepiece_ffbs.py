@@ -123,35 +123,38 @@ class Sampler:
         chars[np.arange(length)[None, :] >= size[:, None]] = -1
         chars[chars == ord(" ")] = ord(MARK)
         chars[[i for i, u in enumerate(units) if u == MARK], 0] = -2  # the mark as text is no piece
-        most = min(voc.longest, length)
-        ids = np.full((len(units), length + 1, most), voc.size + 1, np.int32)
+        most, many = min(voc.longest, length), len(units)
+        # Places first and units last, so that each step below runs over neighbouring numbers.
+        ids = np.full((length + 1, most, many), voc.size + 1, np.int32)
         for k, w, e, piece in voc.table.find(chars):
-            ids[w, e + 1, k - 1] = piece
-        code = np.zeros((len(units), length + 1), np.int64)
-        code[:, 1:] = np.where(chars == -2, ord(MARK), chars)
-        ids[:, 1:, 0] = np.where((ids[:, 1:, 0] > voc.size) & (chars != -1), voc.size, ids[:, 1:, 0])
+            ids[e + 1, k - 1, w] = piece
+        code = np.where(chars == -2, ord(MARK), chars).T
+        ids[1:, 0] = np.where((ids[1:, 0] > voc.size) & (chars.T != -1), voc.size, ids[1:, 0])
         weight = voc.weight[ids]
-        alpha = np.zeros((len(units), length + 1))
-        alpha[:, 0] = 1
+        weight[0] = 0
+        alpha = np.zeros((length + 1, many))
+        alpha[0] = 1
         for e in range(1, length + 1):
             k = min(e, most)
-            weight[:, e, :k] *= alpha[:, e - k : e][:, ::-1]
-            weight[:, e, k:] = 0
-            alpha[:, e] = weight[:, e].sum(1)
-        weight[:, 0] = 0
-        w, e, k = np.nonzero(weight)
-        own = weight[w, e, k] / alpha[w, e]
-        first = np.append(True, (w[1:] != w[:-1]) | (e[1:] != e[:-1]))  # of its node
+            weight[e, :k] *= alpha[e - k : e][::-1]
+            weight[e, k:] = 0
+            alpha[e] = weight[e, :k].sum(0)
+        weight = np.ascontiguousarray(weight.transpose(0, 2, 1))
+        at = np.flatnonzero(weight)
+        node, k = np.divmod(at, most)  # a node is a place of a unit: its number is place * many + unit
+        e, w = np.divmod(node, many)
+        own = weight.ravel()[at] / alpha.ravel()[node]
+        first = np.append(True, node[1:] != node[:-1])  # of its node
         cum = np.cumsum(own)
         cum -= (cum[first] - own[first])[np.cumsum(first) - 1]
         cum[np.append(first[1:], True)] = 1.0  # rounding must not leave a gap
-        node = self.nodes + w * (length + 1) + e
-        piece = ids[w, e, k]
-        piece = np.where(piece == voc.size, voc.size + code[w, e], piece)
-        self.parts.append((node + cum, (node - k - 1).astype(np.int32), piece.astype(np.int32), e == k + 1))
+        piece = ids[e, k, w]
+        piece = np.where(piece == voc.size, voc.size + code[e - 1, w], piece)
+        node += self.nodes
+        self.parts.append((node + cum, (node - (k + 1) * many).astype(np.int32), piece.astype(np.int32), e == k + 1))
         for i, u in enumerate(units):
-            self.known[u] = self.nodes + i * (length + 1) + len(u)
-        self.nodes += len(units) * (length + 1)
+            self.known[u] = self.nodes + len(u) * many + i
+        self.nodes += many * (length + 1)
 
     def sample(self, ends: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units one after another, and how many each has. stream: a number for each unit."""
