@@ -33,7 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is not set: these operators need a folder that driver and executors share")
     app = spark.sparkContext.applicationId
-    return _local.setdefault(app, tempfile.mkdtemp(prefix="rangeloom-"))
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="rangeloom-")
+    return _local[app]
 
 
 def keep(df: DataFrame, name: str, up: int | None = 0) -> DataFrame:

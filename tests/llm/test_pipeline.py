@@ -103,10 +103,16 @@ def test_empty_table_goes_through(spark, empty):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_run_clears_its_tables(spark, tmp_path):
-    from rangeloom.llm.common import shared_folder
+def test_run_clears_its_tables(spark, monkeypatch):
+    """Of the tables that this run names, and others may share the folder, only its result is left."""
+    import types
+    import uuid
 
-    before = set(os.listdir(shared_folder(spark)))
+    from rangeloom.llm import common
+
+    real = uuid.uuid4
+    monkeypatch.setattr(common.uuid, "uuid4", lambda: types.SimpleNamespace(hex="feedfeedfeed" + real().hex))
     out = corpus_pipeline.run(spark, SF)
-    left = set(os.listdir(shared_folder(spark))) - before
-    assert out.count() > 0 and len(left) == 1 and all(x.startswith("pipeline-sentencepiece") for x in left)
+    left = [x for x in os.listdir(common.shared_folder(spark).removeprefix("file://").removeprefix("file:")) if "-feedfeedfeed" in x]
+    assert out.count() > 0 and len(left) == 1 and left[0].startswith("pipeline-sentencepiece")
+    common.drop_kept(out)
