@@ -42,7 +42,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: a folder that driver and executors share is needed")
-        folder = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="rangeloom-"))
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="rangeloom-")
+        folder = _local[app]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
