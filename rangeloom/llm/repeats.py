@@ -335,7 +335,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return run
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in split(False)(batches):
             for lo, many in slices(b.column(2), ROWS, BYTES):
                 part = b.slice(lo, many)
                 raws = [_raw(t) for t in part.column(2)]
@@ -349,7 +349,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 yield out_batch(part.column(0), [_raw(t) for t in part.column(1)], cuts)
 
     shape = f"uid long, k {kind}, t string"
-    clean = rows.mapInArrow(lean(split(False)), shape).mapInArrow(lean(whole), schema)
+    clean = rows.mapInArrow(lean(whole), schema)
     own = spans.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
     hit = rows.mapInArrow(lean(split(True)), shape).join(own, "uid", "left").select("k", "t", "cuts").mapInArrow(lean(cut), schema)
     both = clean.unionByName(hit)
