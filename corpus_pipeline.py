@@ -21,12 +21,22 @@ from rangeloom.llm.common import keep, scratch, spare, table
 WORDS, SIMILARITY = 5, Fraction(8, 10)
 
 
+#: Rows that go to a Python process at a time. Texts are long, and both sides hold a batch; Spark's own 10,000 take tens of
+#: MB on each side of each process. A stage's result is planned when it is written, so the session keeps the setting.
+BATCH = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def _own(docs: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut."""
+    _small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda i: ~toxicity.held_out(i))
     scored = toxicity.score_documents(docs, model)
     score = scored.columns[len(docs.columns)]  # the first that the operator adds, whatever its name
@@ -35,11 +45,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    _small_batches(spark)
     return ngram_join.keep_one(docs, n=WORDS, t=SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that repeat in the corpus; a character cut in two goes whole."""
+    _small_batches(spark)
     out = repeats.kept_text(docs)
     if "n_chars" not in docs.columns:
         return out
@@ -48,11 +60,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    _small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def add_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each text, and whether they decode to it."""
+    _small_batches(spark)
     encoded = sentencepiece_ffbs.encode(docs)
     ids = encoded.columns[-1]
     out = sentencepiece_ffbs.decode(encoded, ids)
