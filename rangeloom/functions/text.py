@@ -57,8 +57,21 @@ def rate(text: Column) -> Column:
     return F.nullif(number, F.lit("")).try_cast("double") * scale
 
 
+def _two_places(x: Column) -> Column:
+    """A DOUBLE of 1 or more with two decimals, rounded as printf does: by its exact value, ties to even. What Spark's
+    format_string rounds is the shortest text of the number, which can lie across the middle."""
+    whole = x.cast("long")
+    hundredths = ((x - whole) * 2.0**52).cast("long") * 100  # in units of 2^-52, the last place of 1.0: exact
+    down, rest, half = F.shiftright(hundredths, 52), hundredths.bitwiseAND(F.lit(2**52 - 1)), F.lit(2**51)
+    near = down + F.when((rest > half) | ((rest == half) & (down % 2 == 1)), 1).otherwise(0)
+    return F.concat((whole + F.when(near == 100, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((near % 100).cast("string"), 2, "0"))
+
+
 def size_text(nbytes: Column) -> Column:
-    return F.when(nbytes >= 1e9, F.format_string("%.2f GB", nbytes / 1e9)).when(nbytes >= 1e6, F.format_string("%.2f MB", nbytes / 1e6)).when(nbytes >= 1e3, F.format_string("%.2f kB", nbytes / 1e3)).otherwise(F.concat(nbytes.cast("string"), F.lit(" B")))
+    out = F
+    for unit, name in ((1e9, "GB"), (1e6, "MB"), (1e3, "kB")):
+        out = out.when(nbytes >= unit, F.concat(_two_places(nbytes / unit), F.lit(f" {name}")))
+    return out.otherwise(F.concat(nbytes.cast("string"), F.lit(" B")))
 
 
 def version(text: Column) -> Column:

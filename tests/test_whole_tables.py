@@ -1,8 +1,10 @@
 """Queries against whole tables, written out by hand, so that no cut of a query can be repeated here."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from rangeloom import catalog
+from rangeloom.functions import text
 
 
 def tables(folder, **frames):
@@ -43,3 +45,21 @@ def test_message_fields_holds_large_numbers_and_long_texts(spark, tmp_path):
     got = {tuple(r) for r in catalog.QUERIES["message_fields"](spark, tables(tmp_path, pages=frame)).select("page_id", "fields", "first", "length").collect()}
     want = {(i, 3, i * 200, None if u is None else len(u.encode())) for i, u in rows if i % 5 != 4 or i < 0} | {(4, None, None, None), (most + 4, None, None, None)}
     assert got == want
+
+
+def test_size_texts_round_the_number_itself(spark, tmp_path):
+    # 546,927: just below .735, with .735 as its shortest text.
+    frame = pd.DataFrame({"event_id": [0, 4, 5, 546_927]})
+    got = dict(tuple(r) for r in catalog.QUERIES["size_texts"](spark, tables(tmp_path, events=frame)).select("event_id", "size").collect())
+    assert got == {0: "1 B", 4: "641 B", 5: "1.25 kB", 546_927: "1636018049.73 GB"}
+
+
+def test_size_texts_holds_more_bytes_than_a_long(spark, tmp_path):
+    frame = pd.DataFrame({"event_id": [6_000_000]})
+    assert catalog.QUERIES["size_texts"](spark, tables(tmp_path, events=frame)).select("size").collect() == [("2160000000000.00 GB",)]
+
+
+def test_size_text_at_ties(spark):
+    sizes = [(999,), (1125,), (1375,), (2675,), (999_995,), (1_005_000,), (12_625_000_000,), (2**63 - 1,), (None,)]
+    texts = [r[0] for r in spark.createDataFrame(sizes, "n long").select(text.size_text(F.col("n"))).collect()]
+    assert texts == ["999 B", "1.12 kB", "1.38 kB", "2.67 kB", "1000.00 kB", "1.00 MB", "12.62 GB", "9223372036.85 GB", None]
